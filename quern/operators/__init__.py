@@ -1 +1 @@
-
+"""Operators on DataFrames: access paths, predicates, changes, statistics, joins over time and ranges."""

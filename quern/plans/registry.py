@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import upkeep
+from quern.plans import decision, features, paths, streams, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (upkeep,):
+for _module in (decision, paths, features, streams, upkeep):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
