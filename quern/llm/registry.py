@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import orders, texts, together
+from quern.llm import orders, texts, together, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (orders, texts, together):
+for _module in (orders, texts, together, topics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
