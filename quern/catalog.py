@@ -78,6 +78,10 @@ class Catalog:
         self.define(name)
         return table(self.spark, self.folder, name)
 
+    def read_ahead(self, name: str) -> DataFrame:
+        """The table, kept in memory and on disk of the executors once it has been read."""
+        return self.read(name).persist()
+
 
 def trim_padding(df: DataFrame) -> DataFrame:
     """Strings without the blanks a fixed-width column pads them with, so that = sees them as declared."""

@@ -33,6 +33,9 @@ def key_compares(columns: Sequence[str], key: Sequence[Any], operator: str) -> C
     can be skipped by.
     """
     names = list(columns[: len(key)])
+    if len(names) == 1 and key[0] is not None:
+        column, value = F.col(names[0]), F.lit(key[0])
+        return {"<": column < value, "<=": column <= value, ">": column > value, ">=": column >= value}[operator]
     strict = operator[0]
     ahead = (lambda c, v: F.col(c) > F.lit(v)) if strict == ">" else (lambda c, v: F.col(c) < F.lit(v))
     result = key_equals(names, key) if operator.endswith("=") else F.lit(False)

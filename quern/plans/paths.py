@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.operators import access, changes, predicates, statistics
+from quern.functions.hostlike import divide, null_if, pad_equal, register, substring
 from quern.session import shared_dir
+from quern.sources.files import read_files, write_files
 from quern.sources.snapshots import SnapshotStore
 
 QUERIES = {}
@@ -210,3 +212,44 @@ def snapshot_rollback(c: Catalog) -> DataFrame:
     change.stage(changes.truncate(change.read()))
     change.rollback()
     return store.read("nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+# Sources and functions of one's own
+
+
+def _round_trip(c: Catalog, kind: str) -> DataFrame:
+    df = c.read("orders")
+    path = f"{shared_dir(c.spark)}/quern-files-{uuid.uuid4().hex}"
+    write_files(df, path, kind)
+    return read_files(c.spark, path, kind, df.schema)
+
+
+for _kind in ("csv", "json", "orc", "parquet"):
+    query(f"source_{_kind}", "SELECT * FROM orders")(lambda c, kind=_kind: _round_trip(c, kind))
+query("scan_read_ahead", "SELECT * FROM nation")(lambda c: c.read_ahead("nation"))
+
+
+@query("udf_vectorized", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
+def udf_vectorized(c: Catalog) -> DataFrame:
+    import pandas as pd
+
+    def double(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    twice = register(c.spark, "quern_twice", double, "double")
+    return c.read("orders").select("o_orderkey", twice("o_totalprice").alias("twice"))
+
+
+query(
+    "fn_hostlike",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderkey::DOUBLE / (o_custkey % 5) END AS share, NULLIF(o_orderstatus, 'F') AS open_status,
+  substring(o_orderpriority, 3) AS label, o_orderstatus = 'O' AS is_open FROM orders""",
+)(
+    lambda c: c.read("orders").select(
+        "o_orderkey",
+        divide(F.col("o_orderkey").cast("double"), (F.col("o_custkey") % 5).cast("double")).alias("share"),
+        null_if(F.col("o_orderstatus"), F.lit("F")).alias("open_status"),
+        substring(F.col("o_orderpriority"), 3).alias("label"),
+        pad_equal(F.col("o_orderstatus"), F.lit("O  ")).alias("is_open"),
+    )
+)
