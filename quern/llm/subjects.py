@@ -121,7 +121,7 @@ class Lexicon:
 
     def about(self, sentence: list[str], prior: list[float] | None = None) -> int:
         """As subject(), but mentions in passing are about nothing."""
-        if self.passing and any(w in self.passing for w in sentence):
+        if not self.passing.isdisjoint(sentence):
             return -1
         return self.subject(sentence, prior)
 
@@ -253,26 +253,28 @@ def _sentence_round(assigned: DataFrame, lexicon: Lexicon, priors: list[list[flo
     k = len(lexicon.subjects)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(index), k + 2))
+        width = k + 2
+        counts = [0] * (len(index) * width)
         for pdf in batches:
             for leaf, sents in zip(pdf["leaf"].tolist(), pdf["sents"].tolist(), strict=True):
-                listed = [list(s) for s in sents]
+                listed = [s.tolist() for s in sents]
                 found = [lexicon.subject(s, priors[leaf]) for s in listed]
                 spoken = [s for s in found if s >= 0]
                 for subject, sentence in zip(found, listed, strict=True):
                     if subject < 0:
                         continue
-                    agrees = spoken.count(subject) > 1
+                    told = len(spoken) >= 2
+                    agrees = told and spoken.count(subject) > 1
                     for term in set(sentence):
                         at = index.get(term)
-                        if at is None:
-                            continue
-                        counts[at, subject] += 1
-                        if len(spoken) >= 2:
-                            counts[at, k] += 1
-                            counts[at, k + 1] += agrees
-        at, column = np.nonzero(counts)
-        yield pd.DataFrame({"at": at.astype("int32"), "c": column.astype("int32"), "n": counts[at, column]})
+                        if at is not None:
+                            at *= width
+                            counts[at + subject] += 1
+                            counts[at + k] += told
+                            counts[at + k + 1] += agrees
+        table = np.array(counts, dtype=float).reshape(len(index), width)
+        at, column = np.nonzero(table)
+        yield pd.DataFrame({"at": at.astype("int32"), "c": column.astype("int32"), "n": table[at, column]})
 
     summed = assigned.select("leaf", "sents").mapInPandas(run, "at int, c int, n double").groupBy("at", "c").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(index), k + 2))
@@ -335,7 +337,7 @@ def assign(model: Model) -> DataFrame:
             for name, leaf, sents in zip(pdf["key"].tolist(), pdf["leaf"].tolist(), pdf["sents"].tolist(), strict=True):
                 counts: dict[int, int] = {}
                 for s in sents:
-                    subject = lexicon.about(list(s), priors[leaf])
+                    subject = lexicon.about(s.tolist(), priors[leaf])
                     if subject >= 0:
                         counts[subject] = counts.get(subject, 0) + 1
                 for subject, n in counts.items():
