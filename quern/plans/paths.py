@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,8 +232,6 @@ query("scan_read_ahead", "SELECT * FROM nation")(lambda c: c.read_ahead("nation"
 
 @query("udf_vectorized", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
 def udf_vectorized(c: Catalog) -> DataFrame:
-    import pandas as pd
-
     def double(x: pd.Series) -> pd.Series:
         return x * 2
 
