@@ -82,8 +82,19 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p3_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of price per day of shipping and status, and of the months put together from the days' counts."""
+    lines = latest_version(table(spark, folder, "tpch_lineitem"), ["l_orderkey", "l_linenumber"], "loaded_at", ["l_shipdate", "l_linestatus", "l_extendedprice"])
+    clean = F.when(F.trim("l_linestatus") != "", F.upper(F.trim("l_linestatus"))).alias("l_linestatus")
+    dated = lines.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("period"), clean, "l_extendedprice")
+    days = logsketch.bucket_counts(dated, ["period", "l_linestatus"], "l_extendedprice")
+    months = logsketch.merge_counts(days.withColumn("period", F.substring("period", 1, 7)), ["period", "l_linestatus"])
+    found = [logsketch.percentiles(s, ["period", "l_linestatus"], [0.5, 0.95]) for s in (days, months)]
+    return reduce(DataFrame.unionByName, found).select("period", "l_linestatus", "quantile", F.round("value", 4).alias("price"), "n_values")
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_distinct": p2_distinct, "p2_sets": p2_sets, "p3_percentiles": p3_percentiles,
+    "p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_distinct": p2_distinct, "p2_sets": p2_sets, "p3_percentiles": p3_percentiles, "p3_days": p3_days,
 }
 
 _PLACED = f"""WITH {ORDERS_ONCE}, s AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_day, upper(trim(o_orderpriority)) AS priority, o_custkey FROM o)
