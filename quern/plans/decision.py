@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources.tables import table
 
-PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
-NET = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(18,2)))"
+PRICE = "CAST(l_extendedprice AS DECIMAL(10,2))"
+NET = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(3,2)))"
 
 
 def money(expression: str) -> str:
@@ -23,7 +23,7 @@ def money(expression: str) -> str:
 TEXTS: dict[str, str] = {
     "q01_pricing_summary": f"""
 SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, {money(PRICE)} AS sum_base_price, {money(NET)} AS sum_disc_price,
-  {money(f"{NET} * (1 + CAST(l_tax AS DECIMAL(18,2)))")} AS sum_charge, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS avg_qty,
+  {money(f"{NET} * (1 + CAST(l_tax AS DECIMAL(3,2)))")} AS sum_charge, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS avg_qty,
   {money(PRICE)} / count(*) AS avg_price, CAST(count(*) AS BIGINT) AS count_order
 FROM {{lineitem}} WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
     "q03_shipping_priority": f"""
@@ -42,7 +42,7 @@ FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON
   JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name""",
     "q06_forecast_revenue": f"""
-SELECT {money(f"{PRICE} * CAST(l_discount AS DECIMAL(18,2))")} AS revenue FROM {{lineitem}}
+SELECT {money(f"{PRICE} * CAST(l_discount AS DECIMAL(3,2))")} AS revenue FROM {{lineitem}}
 WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
     "q07_volume_shipping": f"""
 SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, {money(NET)} AS revenue
@@ -109,7 +109,7 @@ GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
     "q22_sales_opportunity": """
 SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS numcust, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS totacctbal FROM {customer}
 WHERE c_acctbal > (SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM {customer} WHERE c_acctbal > 0)
-  AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) GROUP BY c_mktsegment""",
+  AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2000-06-01') GROUP BY c_mktsegment""",
 }
 
 

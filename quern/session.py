@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,17 +35,21 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; one of our own only where it is unset."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local["):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = os.environ.setdefault("QUERN_SHARED_DIR", "") or tempfile.mkdtemp(prefix="quern-")
-    os.environ["QUERN_SHARED_DIR"] = at
-    return f"file://{at}"
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="quern-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return f"file://{_own_dir[0]}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
