@@ -83,15 +83,17 @@ def sentences(text: str | None) -> list[list[str]]:
     return found
 
 
-def read_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sents): sentences of every row; null and empty texts have none."""
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("sents", T.ArrayType(T.ArrayType(T.StringType())))])
+def read_sentences(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, sents): sentences of every row; null and empty texts have none. Rows with a null key are left out."""
+    kept = [T.StructField("key", df.schema[key].dataType), *(df.schema[c] for c in keep)]
+    schema = T.StructType([*kept, T.StructField("sents", T.ArrayType(T.ArrayType(T.StringType())))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "sents": [sentences(t if isinstance(t, str) else None) for t in pdf["t"]]})
+            listed = [sentences(t if isinstance(t, str) else None) for t in pdf["t"]]
+            yield pdf.drop(columns="t").assign(sents=listed)
 
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *keep, F.col(text).alias("t")).mapInPandas(run, schema)
 
 
 @dataclass
@@ -137,8 +139,7 @@ def read_examples(examples: DataFrame, key: str = "example_id", text: str = "tex
     """(key, sents, labels): the first MAX_EXAMPLES labelled texts; subjects are trimmed, in lower case, blank ones no label."""
     label = F.when(F.trim(subject) != "", F.lower(F.trim(subject)))
     once = examples.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias("t"), F.array_sort(F.collect_set(label)).alias("labels"))
-    once = once.orderBy(key).limit(MAX_EXAMPLES)
-    return read_sentences(once, key, "t").join(once.select(F.col(key).alias("key"), "labels"), "key")
+    return read_sentences(once.orderBy(key).limit(MAX_EXAMPLES), key, "t", ("labels",))
 
 
 @dataclass
@@ -195,16 +196,16 @@ def _weights(n_docs: int, df: np.ndarray, seen: np.ndarray, base: np.ndarray) ->
     return np.log((n_docs + 1.0) / df) * np.maximum(told - 0.02, 0.0)
 
 
-def _cluster(terms_of: DataFrame, words: list[str], weights: np.ndarray, leaves: int, seed: int) -> DataFrame:
-    """(key, leaf) of every document."""
+def _cluster(documents: DataFrame, words: list[str], weights: np.ndarray, leaves: int, seed: int) -> DataFrame:
+    """(key, sents, leaf) of every document."""
     vocabulary = [*words, ANY]
     counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="all", outputCol="counts")
     scale = ElementwiseProduct(scalingVec=Vectors.dense([*weights, 1e-3]), inputCol="counts", outputCol="weighted")
     unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    marked = terms_of.select("key", F.array_append("terms", F.lit(ANY)).alias("all"))
-    vectors = unit.transform(scale.transform(counts.transform(marked))).select("key", "features")
-    clusters = BisectingKMeans(k=leaves, distanceMeasure="cosine", maxIter=8, seed=seed, minDivisibleClusterSize=4.0).fit(vectors)
-    return clusters.transform(vectors).select("key", F.col("prediction").alias("leaf"))
+    marked = documents.select("key", "sents", F.array_append(F.array_distinct(F.flatten("sents")), F.lit(ANY)).alias("all"))
+    vectors = unit.transform(scale.transform(counts.transform(marked)))
+    clusters = BisectingKMeans(k=leaves, distanceMeasure="cosine", maxIter=8, seed=seed, minDivisibleClusterSize=4.0).fit(vectors.select("features"))
+    return clusters.transform(vectors).select("key", "sents", F.col("prediction").alias("leaf"))
 
 
 def _leaf_counts(assigned: DataFrame, terms: list[str], leaves: int) -> np.ndarray:
@@ -296,8 +297,7 @@ def fit(documents: DataFrame, examples: DataFrame, *, leaves: int = LEAVES, roun
     weight = _weights(n_docs, df, seen, base)
     chosen = np.argsort(-(weight * np.sqrt(df)), kind="stable")[:FEATURES]
     chosen = chosen[weight[chosen] > 0]
-    leaf = _cluster(terms_of, [terms[i] for i in chosen], weight[chosen], leaves, seed)
-    assigned = materialize(documents.join(leaf, "key"), "leaves")
+    assigned = materialize(_cluster(documents, [terms[i] for i in chosen], weight[chosen], leaves, seed), "leaves")
 
     per_leaf = _leaf_counts(assigned, terms, leaves)
     mixtures, best = _mixtures(per_leaf, df, n_docs, seen, base)
