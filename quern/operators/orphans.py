@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,46 +63,39 @@ def orphan_keys(state: DataFrame) -> DataFrame:
     return state.where((F.col("refs") > 0) & (F.col("exist") <= 0)).select("key", "refs")
 
 
-def existence_spans(existences: DataFrame) -> DataFrame:
-    """(key, since, spans): when each key existed, from its signed counts.
+def existence_spans(existences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """When each key existed, from its signed counts: (key, since) and (key, a, b).
 
-    Keys nothing was ever removed of exist from their first moment on: since. For the others the counts
-    are summed in order of time and spans holds the (from, until) in which the sum is above zero, until
-    being null for one that is still open. Sums run within a key's month first and the months' totals are
-    carried on, so a key with a great many changes is spread over many tasks, and only the changes
-    between none and some of it reach one row.
+    since is the moment from which on a key has been there for good; of keys nothing was ever removed of,
+    their first. The others' counts are summed in order of time; a stretch in which the sum is above zero
+    and which ended is a row a, b (b excluded). Sums run within a key's month, and the months' totals and
+    first turns are carried on, so a key with a great many changes is spread over many tasks and never
+    gathered into one row.
     """
     per_key = existences.groupBy("key").agg(F.min("at").alias("since"), F.max((F.col("exist") < 0).cast("int")).alias("gone"))
-    steady = per_key.where(F.col("gone") == 0).select("key", "since", F.lit(None).cast("array<struct<a:timestamp_ntz,b:timestamp_ntz>>").alias("spans"))
+    steady = per_key.where(F.col("gone") == 0).select("key", "since")
 
     changing = existences.join(per_key.where(F.col("gone") == 1).select("key"), "key", "left_semi").groupBy("key", "at").agg(F.sum("exist").alias("net"))
-    month = F.trunc(F.col("at").cast("date"), "month")
-    dated = changing.withColumn("month", month)
+    dated = changing.withColumn("month", F.trunc(F.col("at").cast("date"), "month"))
+    months = Window.partitionBy("key").orderBy("month")
     carried = (
         dated.groupBy("key", "month")
         .agg(F.sum("net").alias("of_month"))
-        .withColumn("before", F.coalesce(F.sum("of_month").over(Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("key", "month", "before")
+        .select("key", "month", F.coalesce(F.sum("of_month").over(months.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     )
     inside = Window.partitionBy("key", "month").orderBy("at")
-    running = (
-        dated.withColumn("upto", F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(carried, ["key", "month"])
-        .select("key", "at", (F.col("before") + F.col("upto")).alias("after"), (F.col("before") + F.col("upto") - F.col("net")).alias("earlier"))
+    after = F.col("before") + F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    running = dated.join(carried, ["key", "month"]).withColumn("after", after)
+    turns = running.where((F.col("after") > 0) != (F.col("after") - F.col("net") > 0)).select("key", "month", "at", (F.col("after") > 0).alias("up"))
+    following = turns.groupBy("key", "month").agg(F.min("at").alias("first")).select("key", "month", F.lead("first").over(months).alias("next_first"))
+    stretches = (
+        turns.withColumn("in_month", F.lead("at").over(inside))
+        .join(following, ["key", "month"])
+        .where("up")
+        .select("key", F.col("at").alias("a"), F.coalesce("in_month", "next_first").alias("b"))
     )
-    flips = running.where((F.col("after") > 0) != (F.col("earlier") > 0))
-    order = F.array_sort(F.collect_list(F.struct("at", (F.col("after") > 0).alias("up"))))
-    turned = flips.groupBy("key").agg(order.alias("turns"))
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.element_at("turns", i + 1)["up"]),
-        lambda i: F.struct(F.element_at("turns", i + 1)["at"].alias("a"), F.try_element_at("turns", i + 2)["at"].alias("b")),
-    )
-    return steady.unionByName(turned.select("key", F.lit(None).cast("timestamp_ntz").alias("since"), spans.alias("spans")))
-
-
-def existed_at(moment: Column) -> Column:
-    """Whether the key of a row of existence_spans existed at the moment; null if the key was never there."""
-    return F.coalesce(F.col("since") <= moment, F.exists("spans", lambda s: (s["a"] <= moment) & (s["b"].isNull() | (s["b"] > moment))))
+    open_ended = stretches.where(F.col("b").isNull()).select("key", F.col("a").alias("since"))
+    return steady.unionByName(open_ended), stretches.where(F.col("b").isNotNull())
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, reference: Reference, loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
@@ -110,21 +103,22 @@ def orphan_rows(child: DataFrame, parent: DataFrame, reference: Reference, loade
 
     A row without a reference is no case. Rows delivered again appear as often as they are cases. Parents
     may repeat, go and come back; those with a null key exist for nobody. An empty parent makes every
-    reference an orphan. Only the columns named here are read; clashing names do no harm. The join is one
-    shuffle by key, whose skewed partitions adaptive execution splits; the parent's side has one row a key.
+    reference an orphan. Only the columns named here are read; clashing names do no harm. All children are
+    joined once, by key, against one row a key; adaptive execution splits partitions that a key makes too
+    large. The few that are left are looked up among the stretches that ended, by key and month.
     """
-    spans = existence_spans(change_deltas(parent, reference.parent_key, loaded, deleted if deleted in parent.columns else None, "exist"))
+    since, stretches = existence_spans(change_deltas(parent, reference.parent_key, loaded, deleted if deleted in parent.columns else None, "exist"))
     rows = child.where(F.col(reference.field).isNotNull()).select(
         F.col(reference.field).cast("long").alias("key"),
         F.col(reference.row_key).cast("long").alias("row_key"),
         (F.col(reference.row_line).cast("int") if reference.row_line else F.lit(0)).alias("row_line"),
         F.col(loaded).alias("loaded_at"),
     )
-    return (
-        rows.join(spans, "key", "left")
-        .where(~F.coalesce(existed_at(F.col("loaded_at")), F.lit(False)))
-        .select(F.lit(reference.field).alias("ref_field"), "row_key", "row_line", "loaded_at")
-    )
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    left = rows.join(since, "key", "left").where(F.col("since").isNull() | (F.col("since") > F.col("loaded_at"))).drop("since").withColumn("month", month("loaded_at"))
+    ended = stretches.withColumn("month", F.explode(F.sequence(month("a"), month("b"), F.expr("interval 1 month")))).withColumnRenamed("key", "k").withColumnRenamed("month", "m")
+    there = (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("a") <= F.col("loaded_at")) & (F.col("loaded_at") < F.col("b"))
+    return left.join(ended, there, "left_anti").select(F.lit(reference.field).alias("ref_field"), "row_key", "row_line", "loaded_at")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

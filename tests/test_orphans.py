@@ -49,5 +49,7 @@ def test_ledgers_of_parts_add_up(spark):
 
 def test_spans_keep_only_turns(spark):
     many = [(1, at(i), at(i + 2), "k") for i in range(0, 300)]
-    row = existence_spans(change_deltas(spark.createDataFrame(many, PARENT), "id", "loaded_at", "deleted_at", "exist")).collect()[0]
-    assert len(row.spans) == 1 and (row.spans[0].a, row.spans[0].b) == (at(0), at(301))
+    since, ended = existence_spans(change_deltas(spark.createDataFrame(many, PARENT), "id", "loaded_at", "deleted_at", "exist"))
+    assert since.isEmpty() and [(r.a, r.b) for r in ended.collect()] == [(at(0), at(301))]
+    once_more = change_deltas(spark.createDataFrame([*many, (1, at(400), None, "k")], PARENT), "id", "loaded_at", "deleted_at", "exist")
+    assert [r.since for r in existence_spans(once_more)[0].collect()] == [at(400)]
