@@ -12,7 +12,6 @@ def brute(rows, n):
     out = []
     for g in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == g and r[1] is not None]
-        own.sort(key=lambda r: (r[1] != r[1], r[1]), reverse=True) if False else None
         own.sort(key=lambda r: (0 if r[1] != r[1] else 1, -r[1] if r[1] == r[1] else 0, r[2] is not None, r[2] or 0))
         out += [(r[0], repr(r[1]), r[2]) for r in own[:n]]
     return sorted(out, key=repr)
