@@ -42,6 +42,8 @@ MIN_DOCUMENTS = 3
 MAX_EXAMPLES = 20_000
 #: Leaves of the clustering.
 LEAVES = 48
+#: Partitions the clustering runs in at most.
+MAX_PARTITIONS = 2_048
 #: Rounds over the sentences.
 ROUNDS = 3
 #: Sentences that let a term speak for a subject which fewer than two examples have.
@@ -204,7 +206,9 @@ def _cluster(documents: DataFrame, words: list[str], weights: np.ndarray, leaves
     unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
     marked = documents.select("key", "sents", F.array_append(F.array_distinct(F.flatten("sents")), F.lit(ANY)).alias("all"))
     vectors = unit.transform(scale.transform(counts.transform(marked)))
-    clusters = BisectingKMeans(k=leaves, distanceMeasure="cosine", maxIter=8, seed=seed, minDivisibleClusterSize=4.0).fit(vectors.select("features"))
+    # Each partition sends a dense sum per cluster; fewer partitions keep that small beside the data.
+    points = vectors.select("features").coalesce(MAX_PARTITIONS)
+    clusters = BisectingKMeans(k=leaves, distanceMeasure="cosine", maxIter=8, seed=seed, minDivisibleClusterSize=4.0).fit(points)
     return clusters.transform(vectors).select("key", "sents", F.col("prediction").alias("leaf"))
 
 
