@@ -10,6 +10,7 @@ in order of time, and only the moments at which its count leaves or reaches zero
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,9 @@ def orphan_keys(state: DataFrame) -> DataFrame:
 
 
 def existence_spans(existences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """When each key existed, from its signed counts: (key, since) and (key, a, b).
+    """When each key existed, from its signed counts (ref, key, at, exist): (ref, key, since) and (ref, key, a, b).
+
+    ref tells the keys of one table from those of another.
 
     since is the moment from which on a key has been there for good; of keys nothing was ever removed of,
     their first. The others' counts are summed in order of time; a stretch in which the sum is above zero
@@ -72,53 +75,62 @@ def existence_spans(existences: DataFrame) -> tuple[DataFrame, DataFrame]:
     first turns are carried on, so a key with a great many changes is spread over many tasks and never
     gathered into one row.
     """
-    per_key = existences.groupBy("key").agg(F.min("at").alias("since"), F.max((F.col("exist") < 0).cast("int")).alias("gone"))
-    steady = per_key.where(F.col("gone") == 0).select("key", "since")
+    per_key = existences.groupBy("ref", "key").agg(F.min("at").alias("since"), F.max((F.col("exist") < 0).cast("int")).alias("gone"))
+    steady = per_key.where(F.col("gone") == 0).select("ref", "key", "since")
 
-    changing = existences.join(per_key.where(F.col("gone") == 1).select("key"), "key", "left_semi").groupBy("key", "at").agg(F.sum("exist").alias("net"))
+    changing = existences.join(per_key.where(F.col("gone") == 1).select("ref", "key"), ["ref", "key"], "left_semi").groupBy("ref", "key", "at").agg(F.sum("exist").alias("net"))
     dated = changing.withColumn("month", F.trunc(F.col("at").cast("date"), "month"))
-    months = Window.partitionBy("key").orderBy("month")
+    months = Window.partitionBy("ref", "key").orderBy("month")
     carried = (
-        dated.groupBy("key", "month")
+        dated.groupBy("ref", "key", "month")
         .agg(F.sum("net").alias("of_month"))
-        .select("key", "month", F.coalesce(F.sum("of_month").over(months.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        .select("ref", "key", "month", F.coalesce(F.sum("of_month").over(months.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("key", "month").orderBy("at")
+    inside = Window.partitionBy("ref", "key", "month").orderBy("at")
     after = F.col("before") + F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    running = dated.join(carried, ["key", "month"]).withColumn("after", after)
-    turns = running.where((F.col("after") > 0) != (F.col("after") - F.col("net") > 0)).select("key", "month", "at", (F.col("after") > 0).alias("up"))
-    following = turns.groupBy("key", "month").agg(F.min("at").alias("first")).select("key", "month", F.lead("first").over(months).alias("next_first"))
+    running = dated.join(carried, ["ref", "key", "month"]).withColumn("after", after)
+    turns = running.where((F.col("after") > 0) != (F.col("after") - F.col("net") > 0)).select("ref", "key", "month", "at", (F.col("after") > 0).alias("up"))
+    following = turns.groupBy("ref", "key", "month").agg(F.min("at").alias("first")).select("ref", "key", "month", F.lead("first").over(months).alias("next_first"))
     stretches = (
         turns.withColumn("in_month", F.lead("at").over(inside))
-        .join(following, ["key", "month"])
+        .join(following, ["ref", "key", "month"])
         .where("up")
-        .select("key", F.col("at").alias("a"), F.coalesce("in_month", "next_first").alias("b"))
+        .select("ref", "key", F.col("at").alias("a"), F.coalesce("in_month", "next_first").alias("b"))
     )
-    open_ended = stretches.where(F.col("b").isNull()).select("key", F.col("a").alias("since"))
+    open_ended = stretches.where(F.col("b").isNull()).select("ref", "key", F.col("a").alias("since"))
     return steady.unionByName(open_ended), stretches.where(F.col("b").isNotNull())
 
 
-def orphan_rows(child: DataFrame, parent: DataFrame, reference: Reference, loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
-    """Rows of child whose parent was not there when they were loaded, as (ref_field, row_key, row_line, loaded_at).
+def orphan_rows(sources: list[tuple[DataFrame, DataFrame, Reference]], loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
+    """Rows whose parent was not there when they were loaded, as (ref_field, row_key, row_line, loaded_at).
 
+    sources are (child, parent, reference); all go through the same shuffles, told apart by their field.
     A row without a reference is no case. Rows delivered again appear as often as they are cases. Parents
     may repeat, go and come back; those with a null key exist for nobody. An empty parent makes every
-    reference an orphan. Only the columns named here are read; clashing names do no harm. All children are
+    reference an orphan. Only the columns named are read; clashing names do no harm. All children are
     joined once, by key, against one row a key; adaptive execution splits partitions that a key makes too
     large. The few that are left are looked up among the stretches that ended, by key and month.
     """
-    since, stretches = existence_spans(change_deltas(parent, reference.parent_key, loaded, deleted if deleted in parent.columns else None, "exist"))
-    rows = child.where(F.col(reference.field).isNotNull()).select(
-        F.col(reference.field).cast("long").alias("key"),
-        F.col(reference.row_key).cast("long").alias("row_key"),
-        (F.col(reference.row_line).cast("int") if reference.row_line else F.lit(0)).alias("row_line"),
-        F.col(loaded).alias("loaded_at"),
-    )
+    rows, deltas = [], []
+    for child, parent, r in sources:
+        gone = deleted if deleted in parent.columns else None
+        deltas.append(change_deltas(parent, r.parent_key, loaded, gone, "exist").withColumn("ref", F.lit(r.field)))
+        rows.append(
+            child.where(F.col(r.field).isNotNull()).select(
+                F.lit(r.field).alias("ref"),
+                F.col(r.field).cast("long").alias("key"),
+                F.col(r.row_key).cast("long").alias("row_key"),
+                (F.col(r.row_line).cast("int") if r.row_line else F.lit(0)).alias("row_line"),
+                F.col(loaded).alias("loaded_at"),
+            )
+        )
+    since, stretches = existence_spans(reduce(DataFrame.unionByName, deltas))
     month = lambda c: F.trunc(F.col(c).cast("date"), "month")
-    left = rows.join(since, "key", "left").where(F.col("since").isNull() | (F.col("since") > F.col("loaded_at"))).drop("since").withColumn("month", month("loaded_at"))
-    ended = stretches.withColumn("month", F.explode(F.sequence(month("a"), month("b"), F.expr("interval 1 month")))).withColumnRenamed("key", "k").withColumnRenamed("month", "m")
-    there = (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("a") <= F.col("loaded_at")) & (F.col("loaded_at") < F.col("b"))
-    return left.join(ended, there, "left_anti").select(F.lit(reference.field).alias("ref_field"), "row_key", "row_line", "loaded_at")
+    joined = reduce(DataFrame.unionByName, rows).join(since, ["ref", "key"], "left")
+    left = joined.where(F.col("since").isNull() | (F.col("since") > F.col("loaded_at"))).drop("since").withColumn("month", month("loaded_at"))
+    ended = stretches.withColumn("m", F.explode(F.sequence(month("a"), month("b"), F.expr("interval 1 month")))).select(F.col("ref").alias("f"), F.col("key").alias("k"), "m", "a", "b")
+    there = (F.col("ref") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("a") <= F.col("loaded_at")) & (F.col("loaded_at") < F.col("b"))
+    return left.join(ended, there, "left_anti").select(F.col("ref").alias("ref_field"), "row_key", "row_line", "loaded_at")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

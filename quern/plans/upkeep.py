@@ -43,8 +43,7 @@ def p4_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _all_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [orphan_rows(table(spark, folder, r.child), table(spark, folder, r.parent), r) for r in REFERENCES.values()]
-    return reduce(DataFrame.unionByName, parts)
+    return orphan_rows([(table(spark, folder, r.child), table(spark, folder, r.parent), r) for r in REFERENCES.values()])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from quern.operators.orphans import Reference, change_deltas, existence_spans, ledger, merge_ledgers, orphan_keys, orphan_report, orphan_rows
 
 T0 = dt.datetime(2020, 1, 1)
@@ -24,15 +26,15 @@ def test_against_brute_force(spark):
         (5, at(0), at(10), "e"), (5, at(5), at(60), "e"), (None, at(0), None, "n"), (6, at(0), at(40), "f"), (6, at(35), at(45), "f"),
     ]
     children = [(ref, ref_no * 100 + day, at(day), "x") for ref_no, ref in enumerate([1, 2, 3, 4, 5, 6, 7, None]) for day in range(0, 70, 1)]
-    found = orphan_rows(spark.createDataFrame(children, CHILD), spark.createDataFrame(parents, PARENT), R)
+    found = orphan_rows([(spark.createDataFrame(children, CHILD), spark.createDataFrame(parents, PARENT), R)])
     assert sorted(r.row_key for r in found.collect()) == brute(children, parents)
     assert sum(r.orphan_rows for r in orphan_report(found).collect()) == len(brute(children, parents))
 
 
 def test_empty_tables(spark):
     children = spark.createDataFrame([(1, 1, at(0), "x")], CHILD)
-    assert orphan_rows(children, spark.createDataFrame([], PARENT), R).count() == 1
-    assert orphan_rows(children.limit(0), spark.createDataFrame([], PARENT), R).isEmpty()
+    assert orphan_rows([(children, spark.createDataFrame([], PARENT), R)]).count() == 1
+    assert orphan_rows([(children.limit(0), spark.createDataFrame([], PARENT), R)]).isEmpty()
 
 
 def test_ledgers_of_parts_add_up(spark):
@@ -49,7 +51,7 @@ def test_ledgers_of_parts_add_up(spark):
 
 def test_spans_keep_only_turns(spark):
     many = [(1, at(i), at(i + 2), "k") for i in range(0, 300)]
-    since, ended = existence_spans(change_deltas(spark.createDataFrame(many, PARENT), "id", "loaded_at", "deleted_at", "exist"))
+    deltas = lambda rows: change_deltas(spark.createDataFrame(rows, PARENT), "id", "loaded_at", "deleted_at", "exist").withColumn("ref", F.lit("x"))
+    since, ended = existence_spans(deltas(many))
     assert since.isEmpty() and [(r.a, r.b) for r in ended.collect()] == [(at(0), at(301))]
-    once_more = change_deltas(spark.createDataFrame([*many, (1, at(400), None, "k")], PARENT), "id", "loaded_at", "deleted_at", "exist")
-    assert [r.since for r in existence_spans(once_more)[0].collect()] == [at(400)]
+    assert [r.since for r in existence_spans(deltas([*many, (1, at(400), None, "k")]))[0].collect()] == [at(400)]
