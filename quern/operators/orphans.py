@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -79,7 +81,8 @@ def existence_spans(existences: DataFrame) -> tuple[DataFrame, DataFrame]:
     steady = per_key.where(F.col("gone") == 0).select("ref", "key", "since")
 
     changing = existences.join(per_key.where(F.col("gone") == 1).select("ref", "key"), ["ref", "key"], "left_semi").groupBy("ref", "key", "at").agg(F.sum("exist").alias("net"))
-    dated = changing.withColumn("month", F.trunc(F.col("at").cast("date"), "month"))
+    # Read several times below: written once, it keeps the plan small. It holds only keys that were ever removed.
+    dated = materialize(changing.withColumn("month", F.trunc(F.col("at").cast("date"), "month")), "changes")
     months = Window.partitionBy("ref", "key").orderBy("month")
     carried = (
         dated.groupBy("ref", "key", "month")
