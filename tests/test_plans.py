@@ -53,9 +53,10 @@ def test_settings_answer(spark):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/quern-shared-test/")
-    try:
-        assert shared_dir(spark) == "file:///tmp/quern-shared-test"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark).startswith("file://")
+    class Named:
+        sparkContext = spark.sparkContext
+        conf = {"spark.checkpoint.dir": "file:///somewhere/shared/"}
+
+    assert shared_dir(Named) == "file:///somewhere/shared"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == named.rstrip("/") if named else shared_dir(spark).startswith("file://")
