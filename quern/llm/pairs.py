@@ -203,31 +203,37 @@ def _with_chunks(cells: DataFrame) -> DataFrame:
 def surprise(baskets: Baskets, pairs: DataFrame) -> DataFrame:
     """pairs with expected, log10_p and log10_q under the fitted null.
 
-    q counts every pair of items of the table as tested, those that never met included, so it is an upper
-    bound whatever was left out of `pairs` - as long as what was left out is not more surprising.
+    q counts every pair of items of the table as tested, those that never met included. Ranks count the
+    pairs given, so `pairs` should hold all that met: q is too large, never too small, for what is left of
+    a selection - as long as what was left out is not more surprising.
+
+    The tail depends on the two classes and the count alone; it is found once for each such kind of pair.
     """
     items = _histogram(baskets.items, "n_item")
     null = fit_null(items, _histogram(baskets.sizes, "size"))
     n_items = sum(n for _, _, n in items)
     tests = math.log10(max(1.0, n_items * (n_items - 1) / 2))
-    schema = pairs.withColumn("expected", F.lit(0.0)).withColumn("log10_p", F.lit(0.0)).schema
-    classed = pairs.withColumn("__ca", degree_class(F.col("n_a"))).withColumn("__cb", degree_class(F.col("n_b")))
+    kind = ["__ca", "__cb", "n_ab"]
+    a, b = degree_class(F.col("n_a")), degree_class(F.col("n_b"))
+    classed = materialize(pairs, "pairs").withColumn("__ca", F.least(a, b)).withColumn("__cb", F.greatest(a, b))
+    kinds = classed.groupBy(*kind).agg(F.count(F.lit(1)).alias("__k"))
+    schema = kinds.withColumn("expected", F.lit(0.0)).withColumn("log10_p", F.lit(0.0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            distinct = pdf[["__ca", "__cb", "n_ab"]].drop_duplicates()
-            mean, log_p = np.zeros(len(distinct)), np.zeros(len(distinct))
-            for at in range(0, len(distinct), 2000):
-                part = distinct.iloc[at : at + 2000]
+            mean, log_p = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
                 mean[at : at + 2000], log_p[at : at + 2000] = upper_tail(null, part["__ca"].to_numpy(), part["__cb"].to_numpy(), part["n_ab"].to_numpy())
-            yield pdf.merge(distinct.assign(expected=mean, log10_p=log_p), on=["__ca", "__cb", "n_ab"], how="left").drop(columns=["__ca", "__cb"])
+            yield pdf.assign(expected=mean, log10_p=log_p)
 
-    tailed = classed.mapInPandas(run, schema)
+    tailed = kinds.mapInPandas(run, schema)
     # Benjamini-Hochberg over p rounded up: ranks come from counts per step, of which there are STEPS * DECADES at most.
     step = F.greatest(F.floor(F.col("log10_p") * -STEPS), F.lit(0)).cast("int")
-    stepped = tailed.withColumn("__step", F.least(step, F.lit(STEPS * DECADES)))
-    ladder = stepped.groupBy("__step").agg(F.count(F.lit(1)).alias("k"))
+    stepped = materialize(tailed.withColumn("__step", F.least(step, F.lit(STEPS * DECADES))), "kinds")
+    ladder = stepped.groupBy("__step").agg(F.sum("__k").alias("k"))
     rank = F.sum("k").over(Window.orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, 0))
     raw = ladder.select("__step", (F.lit(tests) - F.col("__step") / STEPS - F.log10(rank.cast("double"))).alias("raw"))
     least = F.min("raw").over(Window.orderBy(F.asc("__step")).rowsBetween(Window.unboundedPreceding, 0))
-    return stepped.join(F.broadcast(raw.select("__step", F.least(least, F.lit(0.0)).alias("log10_q"))), "__step").drop("__step")
+    rated = stepped.join(F.broadcast(raw.select("__step", F.least(least, F.lit(0.0)).alias("log10_q"))), "__step").drop("__step", "__k")
+    return classed.join(rated, kind).select(*pairs.columns, "expected", "log10_p", "log10_q")

@@ -31,9 +31,9 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_surprise(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of at least MIN_COUNT common orders that the fitted null does not explain at a false-discovery rate of 1 %."""
+    """Pairs that the fitted null does not explain at a false-discovery rate of 1 %; all that met are rated."""
     baskets = _baskets(spark, folder)
-    rated = surprise(baskets, pair_counts(baskets, MIN_COUNT))
+    rated = surprise(baskets, pair_counts(baskets))
     return _named(rated).where(F.col("log10_q") <= -2).select("partkey_a", "partkey_b", "n_ab", "ratio", "expected", "log10_p", "log10_q")
 
 

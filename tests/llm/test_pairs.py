@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm import pairs
+from quern.llm import pairs, together
 
 SCHEMA = "o long, p long, basket string, n_item long"
 
@@ -80,3 +80,21 @@ def test_planted_pair_stands_out(spark):
     baskets = pairs.Baskets.of(frame(spark, rows), "o", "p")
     rated = pairs.surprise(baskets, pairs.pair_counts(baskets, 3)).where("log10_q < -2").collect()
     assert [(r.item_a, r.item_b) for r in rated] == [(901, 902)]
+
+
+def test_rare_pairs_are_rated_and_all_that_met_are_ranked(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(o, rng.randint(0, 80)) for o in range(800) for _ in range(4)] + [(o, p) for o in range(8) for p in (901, 902)] + [(o, p) for o in range(100, 130) for p in (903, 904)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/tpch_lineitem.parquet")
+    found = {(r.partkey_a, r.partkey_b): r for r in together.p5_surprise(spark, str(tmp_path)).collect()}
+    assert {(901, 902), (903, 904)} <= set(found)
+    assert found[901, 902].n_ab == 8
+
+    baskets = pairs.Baskets.of(frame(spark, rows), "o", "p")
+    rated = pairs.surprise(baskets, pairs.pair_counts(baskets)).collect()
+    assert len(rated) == len(brute(rows))
+    n_items = len({p for _, p in rows})
+    log_p = np.array(sorted(-min(int(-r.log10_p * pairs.STEPS), pairs.STEPS * pairs.DECADES) / pairs.STEPS for r in rated))
+    raw = log_p + np.log10(n_items * (n_items - 1) / 2) - np.log10(np.searchsorted(log_p, log_p, side="right"))
+    want = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 0.0)
+    assert sorted(r.log10_q for r in rated) == pytest.approx(want.tolist())
