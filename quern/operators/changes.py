@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 
 class DuplicateKey(ValueError):
     """Rows break a unique key."""
@@ -54,11 +56,12 @@ def with_auto_increment(target: DataFrame, rows: DataFrame, key: str, order: Seq
     """rows with a null key given the numbers after the largest of target and rows, in the order given.
 
     Numbers are dense: partitions are ranged by the order, counted, and numbered from their offset, so
-    no task holds all rows.
+    no task holds all rows. The ranged rows are written once with their partition, because another run of
+    the same plan may cut the ranges elsewhere.
     """
     wanted = rows.where(F.col(key).isNull()).drop(key)
     largest = target.select(key).unionByName(rows.select(key)).agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("m"))
-    ranged = wanted.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(wanted.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     offset = sizes.withColumn("__o", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = ranged.join(F.broadcast(offset), "__p").withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))

@@ -28,6 +28,14 @@ def test_numbers_are_dense(spark):
     assert sorted(k for k, _ in got) == [12, *range(13, 63)]
 
 
+def test_numbers_of_a_large_batch_are_dense(spark):
+    target = spark.createDataFrame([(10, "a")], SCHEMA).select(F.col("k").cast("long").alias("k"), "v", F.lit("").alias("w"))
+    n = 60_000  # wide rows: more than one partition when read whole, one when only v is
+    new = spark.range(n).select(F.lit(None).cast("long").alias("k"), F.format_string("%06d", "id").alias("v"), F.concat(*(F.sha2(F.concat(F.col("id"), F.lit(f"/{i}")), 256) for i in range(4))).alias("w"))
+    got = sorted((r.v, r.k) for r in changes.with_auto_increment(target, new, "k", ["v"]).select("v", "k", "w").collect())
+    assert got == [(f"{i:06d}", 11 + i) for i in range(n)]
+
+
 def test_null_conditions_change_nothing(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], SCHEMA)
     assert rows(changes.delete_where(df, F.col("k") == 1)) == [(None, "b")]
