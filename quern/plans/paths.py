@@ -67,6 +67,8 @@ query("range_unbounded", f"SELECT {_L} FROM lineitem WHERE l_orderkey >= 900")(l
 query("range_empty", f"SELECT {_L} FROM lineitem WHERE l_orderkey > 100 AND l_orderkey < 100")(lambda c: access.range_scan(_lines(c), LINE, [100], [100], low_open=True, high_open=True))
 query("order_asc", f"SELECT {_E} FROM events ORDER BY user_id NULLS FIRST, ts NULLS FIRST, event_id LIMIT 100")(lambda c: access.first(_events(c), [*USER, "event_id"], 100))
 query("order_desc", f"SELECT {_E} FROM events ORDER BY user_id DESC NULLS LAST, ts DESC NULLS LAST, event_id DESC LIMIT 100")(lambda c: access.last(_events(c), [*USER, "event_id"], 100))
+query("order_asc_all", f"SELECT {_E} FROM events ORDER BY user_id NULLS FIRST, ts NULLS FIRST, event_id")(lambda c: access.ordered(_events(c), [*USER, "event_id"]))
+query("order_desc_all", f"SELECT {_E} FROM events ORDER BY user_id DESC NULLS LAST, ts DESC NULLS LAST, event_id DESC")(lambda c: access.ordered(_events(c), [*USER, "event_id"], descending=True))
 query("read_first", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1")(lambda c: access.first(c.read("orders"), ["o_orderkey"]))
 query("read_last", "SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 1")(lambda c: access.last(c.read("orders"), ["o_orderkey"]))
 query("read_key_or_next", "SELECT * FROM orders WHERE o_orderkey >= 500 ORDER BY o_orderkey LIMIT 1")(lambda c: access.read_at_or_after(c.read("orders"), ["o_orderkey"], [500]))
