@@ -7,9 +7,10 @@ in, weighted by its documents there; two rounds over the sentences of all docume
 sentence is about one thing more often than a document is. A document's subjects are those that enough of
 its sentences are about, with its leaf's mixture as the prior.
 
-Vectors, clusters, term counts and rounds run over all documents. What reaches the driver is bounded by the
-vocabulary (VOCABULARY terms), the leaves and the subjects; the labelled examples, bounded by MAX_EXAMPLES,
-are read there too.
+Vectors, clusters, term counts and rounds run over all documents. Every term that stands in MIN_DOCUMENTS
+documents is counted and may speak for a subject; only the vectors of the clustering are of FEATURES terms.
+What reaches the driver grows with the number of such terms, times the leaves and the subjects; the labelled
+examples, bounded by MAX_EXAMPLES, are read there too.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +34,7 @@ from pyspark.sql import types as T
 
 from quern.session import materialize
 
-#: Terms told apart, the most frequent ones; rarer ones carry no weight.
-VOCABULARY = 20_000
-#: Terms of the vectors, those with the most weight over the corpus.
+#: Terms of the vectors, those with the most weight over the corpus; the others inherit from leaves and sentences all the same.
 FEATURES = 4_096
 #: Documents a term must stand in.
 MIN_DOCUMENTS = 3
@@ -180,7 +180,6 @@ def _frequent_terms(terms_of: DataFrame) -> tuple[list[str], np.ndarray]:
         .agg(F.count(F.lit(1)).alias("df"))
         .where(F.col("df") >= MIN_DOCUMENTS)
         .orderBy(F.desc("df"), "term")
-        .limit(VOCABULARY)
         .toArrow()
     )
     return found["term"].to_pylist(), found["df"].to_numpy().astype(float)
@@ -219,7 +218,7 @@ def _leaf_counts(assigned: DataFrame, terms: list[str], leaves: int) -> np.ndarr
         assigned.select("leaf", F.explode(F.array_distinct(F.flatten("sents"))).alias("term"))
         .groupBy("leaf", "term")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(known), "term")  # VOCABULARY rows at most
+        .join(known, "term")
         .select("leaf", "at", "n")
         .toArrow()
     )
@@ -259,7 +258,7 @@ def _sentence_round(assigned: DataFrame, lexicon: Lexicon, priors: list[list[flo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = k + 2
-        counts = [0] * (len(index) * width)
+        counts: Counter[int] = Counter()
         for pdf in batches:
             for leaf, sents in zip(pdf["leaf"].tolist(), pdf["sents"].tolist(), strict=True):
                 listed = [s.tolist() for s in sents]
@@ -277,9 +276,9 @@ def _sentence_round(assigned: DataFrame, lexicon: Lexicon, priors: list[list[flo
                             counts[at + subject] += 1
                             counts[at + k] += told
                             counts[at + k + 1] += agrees
-        table = np.array(counts, dtype=float).reshape(len(index), width)
-        at, column = np.nonzero(table)
-        yield pd.DataFrame({"at": at.astype("int32"), "c": column.astype("int32"), "n": table[at, column]})
+        found = sorted((cell, n) for cell, n in counts.items() if n)
+        cells, n = np.array([c for c, _ in found], dtype="int64"), np.array([float(n) for _, n in found])
+        yield pd.DataFrame({"at": (cells // width).astype("int32"), "c": (cells % width).astype("int32"), "n": n})
 
     summed = assigned.select("leaf", "sents").mapInPandas(run, "at int, c int, n double").groupBy("at", "c").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(index), k + 2))

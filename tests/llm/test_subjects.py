@@ -73,3 +73,10 @@ def test_empty_tables(spark):
     assert subjects.document_subjects(documents, examples)[0].isEmpty()
     some = spark.createDataFrame([(1, "The cell is acidic. The cell is acidic.")], "doc_id long, text string")
     assert subjects.document_subjects(some, examples)[0].isEmpty()
+
+
+def test_no_term_of_enough_documents_is_left_out(spark):
+    n = 20_500
+    terms_of = spark.range(3).select(F.col("id").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("terms"))
+    terms, df = subjects._frequent_terms(terms_of)
+    assert len(set(terms)) == n and set(df.tolist()) == {3.0}
