@@ -57,6 +57,15 @@ def lookup_many(df: DataFrame, columns: Sequence[str], keys: DataFrame) -> DataF
     return df.join(keys.select(*columns), list(columns), "left_semi")
 
 
+def not_in(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """Rows whose value is in no row of others, as SQL's NOT IN has it: none if others holds a null, all if
+    others is empty, and otherwise no row with a null. An anti join by key, so others may be of any size."""
+    seen = others.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(other).isNull()).alias("nulls"))
+    kept = df.where(F.col(column).isNotNull() | (seen.select("n").scalar() == 0)).where(seen.select("nulls").scalar() == 0)
+    keys = others.where(F.col(other).isNotNull()).select(F.col(other).alias("__other"))
+    return kept.join(keys, F.col(column) == F.col("__other"), "left_anti")
+
+
 def range_scan(
     df: DataFrame, columns: Sequence[str], low: Sequence[Any] | None = None, high: Sequence[Any] | None = None,
     *, low_open: bool = False, high_open: bool = False,

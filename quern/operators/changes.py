@@ -26,6 +26,13 @@ def _held(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(whole)
 
 
+def _unheld(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    return df.where(absent)
+
+
 def rejected(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows that would repeat a key of target or of an earlier row of the batch (by order)."""
     taken = target.select(*keys).distinct().withColumn("__taken", F.lit(True))
@@ -39,10 +46,7 @@ def insertable(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: S
     new = _held(rows, keys).join(target.select(*keys), list(keys), "left_anti").select(*rows.columns)
     place = Window.partitionBy(*keys).orderBy(*order)
     first = new.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
-    absent = F.lit(False)
-    for k in keys:
-        absent = absent | F.col(k).isNull()
-    return first.unionByName(rows.where(absent))
+    return first.unionByName(_unheld(rows, keys))
 
 
 def insert_unique(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, ignore: bool = False) -> DataFrame:
@@ -61,7 +65,8 @@ def with_auto_increment(target: DataFrame, rows: DataFrame, key: str, order: Seq
     """
     wanted = rows.where(F.col(key).isNull()).drop(key)
     largest = target.select(key).unionByName(rows.select(key)).agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("m"))
-    ranged = materialize(wanted.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    spread = [F.col(c) for c in order] + [F.xxhash64(*wanted.columns).alias("__tie")]  # equal orders need not share a partition
+    ranged = materialize(wanted.repartitionByRange(*spread).withColumn("__p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     offset = sizes.withColumn("__o", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = ranged.join(F.broadcast(offset), "__p").withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
@@ -84,10 +89,14 @@ def changed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """target with rows replacing those of the same key, the last of a batch's rows for a key, and the rest added."""
+    """target with rows replacing those of the same key, the last of a batch's rows for a key, and the rest added.
+
+    A null in a key equals nothing: such rows replace none and are all added.
+    """
     last = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    newest = rows.withColumn("__place", F.row_number().over(last)).where("__place = 1").drop("__place")
-    return target.join(newest.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(newest)
+    newest = _held(rows, keys).withColumn("__place", F.row_number().over(last)).where("__place = 1").drop("__place")
+    kept = target.join(newest.select(*keys), list(keys), "left_anti").select(*target.columns)
+    return kept.unionByName(newest).unionByName(_unheld(rows, keys))
 
 
 def delete_where(target: DataFrame, where: Column) -> DataFrame:

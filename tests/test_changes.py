@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import changes
 from quern.operators.versions import latest_version
-from quern.sources.snapshots import CommitConflict, SnapshotStore
+from quern.sources.snapshots import CommitConflict, SnapshotStore, TableLocked
 
 SCHEMA = "k int, v string"
 
@@ -75,3 +75,106 @@ def test_failed_change_leaves_nothing(spark, tmp_path):
     store.rename("t", "u")
     assert store.tables() == ["t_more", "u"]
     assert store.drop("u") and store.tables() == ["t_more"]
+
+
+def test_upsert_keeps_rows_with_a_null_key(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], SCHEMA)
+    batch = spark.createDataFrame([(1, "x"), (1, "y"), (3, "c"), (None, "m"), (None, "m"), (None, "o")], SCHEMA)
+    got = rows(changes.upsert(target, batch, ["k"], ["v"]))
+    assert got == sorted([(1, "y"), (2, "b"), (3, "c"), (None, "n"), (None, "m"), (None, "m"), (None, "o")], key=repr)
+    assert rows(changes.upsert(target, batch.limit(0), ["k"], ["v"])) == rows(target)
+
+
+def test_numbers_with_ties_and_repeats(spark):
+    target = spark.createDataFrame([(10, "a")], SCHEMA).select(F.col("k").cast("long").alias("k"), "v")
+    new = spark.createDataFrame([(None, "same")] * 40 + [(None, "other")] * 5, SCHEMA).select(F.col("k").cast("long").alias("k"), "v")
+    got = rows(changes.with_auto_increment(target, new.repartition(5), "k", ["v"]))
+    assert sorted(k for k, _ in got) == list(range(11, 56))
+    assert sorted(v for k, v in got if k <= 15) == ["other"] * 5
+
+
+def test_vacuum_leaves_a_writer_at_work_alone(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.create("t", spark.range(5))
+    change = store.begin("t")
+    change.stage(spark.range(6))
+    store.vacuum("t")
+    change.commit()
+    assert store.read("t").count() == 6 and not [n for n in store._names("t") if n.startswith("_intent")]
+    other = store.begin("t")
+    other.stage(spark.range(7))
+    store.vacuum("t", stale_seconds=-1)  # its writer counts as gone
+    with pytest.raises(CommitConflict):
+        other.commit()
+    assert store.read("t").count() == 6
+
+
+def test_manifests_appear_whole_and_once(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.create("t", spark.range(5))
+    (tmp_path / "store" / "t" / "_manifest-2.abc.tmp").write_text("{")  # a writer died before the name was given
+    assert store.versions("t") == [1] and store.read("t").count() == 5
+    with store.begin("t") as change:
+        change.stage(spark.range(6))
+    assert store.read("t").count() == 6
+    assert not store._write_new(f"{store._table('t')}/_manifest-2", {}) and store.read("t").count() == 6
+    store.create("t", spark.range(3))  # the old rows stay readable until the new ones are there
+    assert store.versions("t") == [1, 2, 3] and store.read("t", 2).count() == 6 and store.read("t").count() == 3
+
+
+def test_exclusive_writers_wait(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.create("t", spark.range(5))
+    one = store.begin("t", exclusive=True)
+    with pytest.raises(TableLocked):
+        store.begin("t", exclusive=True, wait_seconds=0.1)
+    one.rollback()
+    with store.begin("t", exclusive=True) as two:
+        two.insert(spark.range(2))
+    store.begin("t", exclusive=True).rollback()
+    assert store.read("t").count() == 7
+
+
+def keyed(spark, n):
+    return spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+
+
+def test_changes_by_key_rewrite_only_their_files(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.create("t", keyed(spark, 1000), ["k"], partitions=10)
+    before = {f["path"] for f in store.manifest("t")["files"]}
+    assert len(before) == 10
+    with store.begin("t") as change:
+        change.upsert(spark.createDataFrame([(505, "new")], "k long, v string"), ["v"])
+    after = {f["path"] for f in store.manifest("t")["files"]}
+    assert len(before & after) == 9 and change.written == 1
+    assert store.read("t").where("k = 505").first().v == "new" and store.read("t").count() == 1000
+    with store.begin("t") as change:
+        change.delete_keys(spark.createDataFrame([(1,), (2,), (5000,), (None,)], "k long"))
+        change.update_where(F.col("k") == 999, {"v": F.lit("last")})
+        change.insert(spark.createDataFrame([(None, "null key"), (2000, "far")], "k long, v string"))
+    assert store.read("t").count() == 1000 and change.written <= 4
+    assert store.read("t").where("k = 999").first().v == "last" and store.read("t").where("k is null").count() == 1
+    with store.begin("t") as change:
+        change.delete_where(F.col("k") >= 900)
+    assert store.read("t").count() == 899
+    store.begin("t").commit()  # nothing staged, nothing new
+    store.vacuum("t")
+    assert store.read("t").count() == 899
+    files = len(store.manifest("t")["files"])
+    assert store.compact("t") == files - len(store.manifest("t")["files"]) > 0
+    assert sorted(r.k for r in store.read("t").where("k is not null").collect()) == sorted({*range(900)} - {1, 2})
+
+
+def test_statistics_are_kept_until_due(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.create("t", spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 5).alias("g")), ["k"])
+    wanted = {"by_g": ["g", "k"]}
+    first = store.statistics("t", wanted, now=0.0)
+    assert first["rows"] == 100 and abs(first["rows_per_key"]["by_g.1"] - 20) <= 1 and abs(first["rows_per_key"]["by_g.2"] - 1) < 0.1
+    with store.begin("t") as change:
+        change.insert(spark.range(50).select((F.col("id") + 1000).alias("k"), F.lit(7).cast("long").alias("g")))
+    assert store.statistics("t", wanted, now=30.0) == first  # much has changed, but just now
+    assert store.statistics("t", wanted, now=61.0)["rows"] == 150
+    assert store.statistics("t", wanted, now=2000.0)["taken_at"] == 61.0
+    assert store.statistics("t", wanted, now=3100.0)["taken_at"] == 3100.0
