@@ -3,8 +3,9 @@
 Every change of a table is a delta: a row that comes adds one reference to the key it names and one
 existence of its own key; a row that goes takes both back. Counts per key add up in any order, so the
 state of many days is the sum of their deltas, and a key with references but no existence is an orphan.
-For the question "was the parent there when the child came", the existence deltas of a key are summed
-in order of time, and only the moments at which its count leaves or reaches zero are kept.
+For the question "was the parent there when the child came" the same ledger is kept by day: references
+that came on a day on which their key's existence count was zero throughout are orphans, and only on days
+on which it changed between them the deltas are looked at one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.skew import join_counted, salts
 from quern.session import materialize
 
 
@@ -66,74 +68,99 @@ def orphan_keys(state: DataFrame) -> DataFrame:
     return state.where((F.col("refs") > 0) & (F.col("exist") <= 0)).select("key", "refs")
 
 
-def existence_spans(existences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """When each key existed, from its signed counts (ref, key, at, exist): (ref, key, since) and (ref, key, a, b).
+#: What a cell of the ledger says about the references that came in it.
+ALL_ORPHANS, MIXED = "all", "mixed"
 
-    ref tells the keys of one table from those of another.
 
-    since is the moment from which on a key has been there for good; of keys nothing was ever removed of,
-    their first. The others' counts are summed in order of time; a stretch in which the sum is above zero
-    and which ended is a row a, b (b excluded). Sums run within a key's month, and the months' totals and
-    first turns are carried on, so a key with a great many changes is spread over many tasks and never
-    gathered into one row.
+def dated_ledger(references: DataFrame, existences: DataFrame) -> DataFrame:
+    """The ledger by key and day: (ref, key, day, refs, exist, had_refs, had, first_in, first_out, first_ref, last_ref).
+
+    references and existences are signed deltas (ref, key, at, refs) and (ref, key, at, exist), ref telling
+    the keys of one table from those of another. refs and exist are what the day changed, had_refs and had
+    the counts it began with; the moments are the day's first existence won and lost and its first and last
+    reference won. Deltas are summed per key and day on the map side, so a key with any number of them has
+    a row a day, and only those are carried on in order of time. Deltas without a moment are left out.
     """
-    per_key = existences.groupBy("ref", "key").agg(F.min("at").alias("since"), F.max((F.col("exist") < 0).cast("int")).alias("gone"))
-    steady = per_key.where(F.col("gone") == 0).select("ref", "key", "since")
-
-    changing = existences.join(per_key.where(F.col("gone") == 1).select("ref", "key"), ["ref", "key"], "left_semi").groupBy("ref", "key", "at").agg(F.sum("exist").alias("net"))
-    # Read several times below: written once, it keeps the plan small. It holds only keys that were ever removed.
-    dated = materialize(changing.withColumn("month", F.trunc(F.col("at").cast("date"), "month")), "changes")
-    months = Window.partitionBy("ref", "key").orderBy("month")
-    carried = (
-        dated.groupBy("ref", "key", "month")
-        .agg(F.sum("net").alias("of_month"))
-        .select("ref", "key", "month", F.coalesce(F.sum("of_month").over(months.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    )
-    inside = Window.partitionBy("ref", "key", "month").orderBy("at")
-    after = F.col("before") + F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    running = dated.join(carried, ["ref", "key", "month"]).withColumn("after", after)
-    turns = running.where((F.col("after") > 0) != (F.col("after") - F.col("net") > 0)).select("ref", "key", "month", "at", (F.col("after") > 0).alias("up"))
-    following = turns.groupBy("ref", "key", "month").agg(F.min("at").alias("first")).select("ref", "key", "month", F.lead("first").over(months).alias("next_first"))
-    stretches = (
-        turns.withColumn("in_month", F.lead("at").over(inside))
-        .join(following, ["ref", "key", "month"])
-        .where("up")
-        .select("ref", "key", F.col("at").alias("a"), F.coalesce("in_month", "next_first").alias("b"))
+    none = F.lit(None).cast("long")
+    both = references.select("ref", "key", "at", "refs", none.alias("exist")).unionByName(existences.select("ref", "key", "at", none.alias("refs"), "exist"))
+    cells = (
+        both.where(F.col("at").isNotNull())
+        .groupBy("ref", "key", F.col("at").cast("date").alias("day"))
+        .agg(
+            F.coalesce(F.sum("refs"), F.lit(0)).alias("refs"),
+            F.coalesce(F.sum("exist"), F.lit(0)).alias("exist"),
+            F.min(F.when(F.col("exist") > 0, F.col("at"))).alias("first_in"),
+            F.min(F.when(F.col("exist") < 0, F.col("at"))).alias("first_out"),
+            F.min(F.when(F.col("refs") > 0, F.col("at"))).alias("first_ref"),
+            F.max(F.when(F.col("refs") > 0, F.col("at"))).alias("last_ref"),
+        )
     )
-    open_ended = stretches.where(F.col("b").isNull()).select("ref", "key", F.col("a").alias("since"))
-    return steady.unionByName(open_ended), stretches.where(F.col("b").isNotNull())
+    before = Window.partitionBy("ref", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("had_refs", F.coalesce(F.sum("refs").over(before), F.lit(0))).withColumn("had", F.coalesce(F.sum("exist").over(before), F.lit(0)))
+
+
+def doubtful_cells(dated: DataFrame) -> DataFrame:
+    """(ref, key, day, refs, had, verdict): the cells in which references came while their key may not have existed.
+
+    A cell whose key existed from its first reference to its last is left out; one whose key did not exist
+    before its last is "all"; in the others ("mixed") the order within the day decides.
+    """
+    there_first = (F.col("had") > 0) | (F.col("first_in") <= F.col("first_ref"))
+    stayed = F.col("first_out").isNull() | (F.col("first_out") > F.col("last_ref"))
+    never = (F.col("had") <= 0) & (F.col("first_in").isNull() | (F.col("first_in") > F.col("last_ref")))
+    verdict = F.when(never, ALL_ORPHANS).when(~(F.coalesce(there_first, F.lit(False)) & stayed), MIXED)
+    return dated.where(F.col("first_ref").isNotNull()).withColumn("verdict", verdict).where(F.col("verdict").isNotNull()).select("ref", "key", "day", "refs", "had", "verdict")
 
 
 def orphan_rows(sources: list[tuple[DataFrame, DataFrame, Reference]], loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
     """Rows whose parent was not there when they were loaded, as (ref_field, row_key, row_line, loaded_at).
 
-    sources are (child, parent, reference); all go through the same shuffles, told apart by their field.
-    A row without a reference is no case. Rows delivered again appear as often as they are cases. Parents
-    may repeat, go and come back; those with a null key exist for nobody. An empty parent makes every
-    reference an orphan. Only the columns named are read; clashing names do no harm. All children are
-    joined once, by key, against one row a key; adaptive execution splits partitions that a key makes too
-    large. The few that are left are looked up among the stretches that ended, by key and month.
+    sources are (child, parent, reference); all go through one ledger, told apart by their field. A row
+    without a reference is no case, one without a moment always is. Rows delivered again appear as often as
+    they are cases. Parents may repeat, go and come back; those with a null key or moment exist for nobody.
+    An empty parent makes every reference an orphan. Only the columns named are read; clashing names do no
+    harm.
+
+    The ledger's doubtful cells, few beside the rows, are written once and joined to the rows that
+    came in them, a key that holds many of those cut into pieces; in mixed cells existence and reference
+    deltas are then run through in order of time, existence first where moments are equal.
     """
     rows, deltas = [], []
-    for child, parent, r in sources:
+    for at, (child, parent, r) in enumerate(sources):
         gone = deleted if deleted in parent.columns else None
-        deltas.append(change_deltas(parent, r.parent_key, loaded, gone, "exist").withColumn("ref", F.lit(r.field)))
+        number = F.lit(at).cast("tinyint").alias("ref")
+        deltas.append(change_deltas(parent, r.parent_key, loaded, gone, "exist").select(number, "key", "at", "exist"))
         rows.append(
             child.where(F.col(r.field).isNotNull()).select(
-                F.lit(r.field).alias("ref"),
+                number,
                 F.col(r.field).cast("long").alias("key"),
                 F.col(r.row_key).cast("long").alias("row_key"),
                 (F.col(r.row_line).cast("int") if r.row_line else F.lit(0)).alias("row_line"),
-                F.col(loaded).alias("loaded_at"),
+                F.col(loaded).alias("at"),
             )
         )
-    since, stretches = existence_spans(reduce(DataFrame.unionByName, deltas))
-    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
-    joined = reduce(DataFrame.unionByName, rows).join(since, ["ref", "key"], "left")
-    left = joined.where(F.col("since").isNull() | (F.col("since") > F.col("loaded_at"))).drop("since").withColumn("month", month("loaded_at"))
-    ended = stretches.withColumn("m", F.explode(F.sequence(month("a"), month("b"), F.expr("interval 1 month")))).select(F.col("ref").alias("f"), F.col("key").alias("k"), "m", "a", "b")
-    there = (F.col("ref") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("a") <= F.col("loaded_at")) & (F.col("loaded_at") < F.col("b"))
-    return left.join(ended, there, "left_anti").select(F.col("ref").alias("ref_field"), "row_key", "row_line", "loaded_at")
+    references, existences = reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, deltas)
+    counted = references.select("ref", "key", "at", F.lit(1).cast("long").alias("refs"))
+    doubtful = materialize(doubtful_cells(dated_ledger(counted, existences)), "doubtful")
+    total = int(doubtful.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0])
+
+    cell = ["ref", "key", "day"]
+    came = references.withColumn("day", F.col("at").cast("date"))
+    met = join_counted(came, doubtful, cell, "refs", total, ["row_key", "row_line"])
+    wanted = ["ref", "row_key", "row_line", "at"]
+    certain = met.where(F.col("verdict") == ALL_ORPHANS).select(*wanted)
+    mixed = doubtful.where(F.col("verdict") == MIXED).select(*cell, "had", F.explode(F.sequence(F.lit(0), salts(F.col("refs"), total) - 1)).alias("__salt"))
+    moved = existences.where(F.col("at").isNotNull()).withColumn("day", F.col("at").cast("date")).join(mixed, cell)
+    piece = [*cell, "__salt"]
+    line = moved.select(*piece, "at", F.lit(0).alias("kind"), "had", "exist", F.lit(None).cast("long").alias("row_key"), F.lit(None).cast("int").alias("row_line")).unionByName(
+        met.where(F.col("verdict") == MIXED).select(*piece, "at", F.lit(1).alias("kind"), "had", F.lit(0).cast("long").alias("exist"), "row_key", "row_line")
+    )
+    so_far = Window.partitionBy(*piece).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    decided = line.withColumn("now", F.col("had") + F.sum("exist").over(so_far)).where((F.col("kind") == 1) & (F.col("now") <= 0)).select(*wanted)
+    undated = references.where(F.col("at").isNull()).select(*wanted)
+    fields = F.array(*(F.lit(r.field) for _, _, r in sources))
+    found = certain.unionByName(decided).unionByName(undated)
+    return found.select(F.get(fields, F.col("ref").cast("int")).alias("ref_field"), "row_key", "row_line", F.col("at").alias("loaded_at"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
