@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quern.operators.statistics import StatisticsPolicy
+from quern.settings import is_on
+from quern.sources.snapshots import SnapshotStore
 from quern.sources.tables import table
 
 
@@ -68,6 +71,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
 
     def define(self, name: str) -> TableDef:
         if name not in TABLES:
@@ -75,12 +79,34 @@ class Catalog:
         return TABLES[name]
 
     def read(self, name: str) -> DataFrame:
+        """The table; kept by the executors once it has been read while the setting block_read_ahead is on."""
         self.define(name)
-        return table(self.spark, self.folder, name)
+        found = table(self.spark, self.folder, name)
+        return self._keep(name, found) if is_on(self.spark, "block_read_ahead") else found
 
     def read_ahead(self, name: str) -> DataFrame:
-        """The table, kept in memory and on disk of the executors once it has been read."""
-        return self.read(name).persist()
+        """The table, kept in memory and on disk of the executors once it has been read, until release()."""
+        self.define(name)
+        return self._keep(name, table(self.spark, self.folder, name))
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = df.persist()
+        return self._kept[name]
+
+    def release(self) -> None:
+        """Give back what read_ahead keeps."""
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
+
+    def statistics(self, store: SnapshotStore, name: str, now: float | None = None) -> dict:
+        """Statistics of a stored table over its declared indexes, taken anew when due or when reset_statistics asks."""
+        defined = self.define(name)
+        wanted = {"primary": list(defined.primary_key)} if defined.primary_key else {}
+        wanted |= {i.name: list(i.columns) for i in defined.indexes}
+        policy = StatisticsPolicy(0.0, 0.0, -1.0) if is_on(self.spark, "reset_statistics") else None
+        return store.statistics(name, wanted, policy, now)
 
 
 def trim_padding(df: DataFrame) -> DataFrame:

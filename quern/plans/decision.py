@@ -20,12 +20,22 @@ def money(expression: str) -> str:
     return f"CAST(sum({expression}) AS DOUBLE)"
 
 
+#: The tables have no partsupp; each part and supplier of a line are one of its rows, with a cost and a quantity made from their keys.
+PARTSUPP = """partsupp AS (SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey,
+  CAST((l_partkey * 31 + l_suppkey * 17) % 1000 + 1 AS INT) AS ps_supplycost, CAST((l_partkey * 7 + l_suppkey * 13) % 9999 + 1 AS INT) AS ps_availqty FROM {lineitem})"""
+
 TEXTS: dict[str, str] = {
     "q01_pricing_summary": f"""
 SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, {money(PRICE)} AS sum_base_price, {money(NET)} AS sum_disc_price,
   {money(f"{NET} * (1 + CAST(l_tax AS DECIMAL(3,2)))")} AS sum_charge, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS avg_qty,
   {money(PRICE)} / count(*) AS avg_price, CAST(count(*) AS BIGINT) AS count_order
 FROM {{lineitem}} WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+    "q02_cheapest_supplier": f"""
+WITH {PARTSUPP}, offers AS (SELECT s_acctbal, s_name, n_name, ps_partkey, ps_supplycost FROM partsupp JOIN {{supplier}} ON s_suppkey = ps_suppkey
+  JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
+least AS (SELECT ps_partkey AS k, min(ps_supplycost) AS cost FROM offers GROUP BY ps_partkey)
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM offers JOIN least ON ps_partkey = k AND ps_supplycost = cost JOIN {{part}} ON p_partkey = ps_partkey
+WHERE p_size = 15 AND p_type IN ('PROMO', 'SMALL') ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
     "q03_shipping_priority": f"""
 SELECT l_orderkey, {money(NET)} AS revenue, CAST(o_orderdate AS DATE) AS order_day
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
@@ -72,6 +82,10 @@ SELECT c_custkey, c_name, {money(NET)} AS revenue, c_acctbal, n_name
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{nation}} ON c_nationkey = n_nationkey
 WHERE o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1998-01-01' AND l_returnflag = 'R'
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
+    "q11_important_stock": f"""
+WITH {PARTSUPP}, held AS (SELECT ps_partkey, CAST(sum(CAST(ps_supplycost AS BIGINT) * ps_availqty) AS BIGINT) AS stock_value FROM partsupp JOIN {{supplier}} ON s_suppkey = ps_suppkey
+  JOIN {{nation}} ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ps_partkey)
+SELECT ps_partkey, stock_value FROM held WHERE stock_value > (SELECT CAST(sum(stock_value) AS DOUBLE) * 0.001 FROM held)""",
     "q12_priority_by_status": """
 SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
   CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
@@ -86,6 +100,11 @@ FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_shipdate >= DAT
 WITH revenue AS (SELECT l_suppkey AS supplier_no, {money(NET)} AS total_revenue FROM {{lineitem}}
   WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, total_revenue FROM {{supplier}} JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""",
+    "q16_suppliers_by_part": f"""
+WITH {PARTSUPP}
+SELECT p_brand, p_type, p_size, CAST(count(DISTINCT ps_suppkey) AS BIGINT) AS supplier_cnt FROM partsupp JOIN {{part}} ON p_partkey = ps_partkey
+WHERE p_brand <> 'Brand#5' AND p_type NOT LIKE 'PROMO%' AND p_size IN (1, 4, 7, 14, 23, 36, 45, 49)
+  AND NOT EXISTS (SELECT 1 FROM {{supplier}} WHERE s_suppkey = ps_suppkey AND s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
     "q17_small_quantity": f"""
 SELECT {money(PRICE)} / 7.0 AS avg_yearly FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
   JOIN (SELECT l_partkey AS k, 0.2 * CAST(sum(l_quantity) AS DOUBLE) / count(*) AS few FROM {{lineitem}} GROUP BY l_partkey) a ON a.k = p_partkey
@@ -100,6 +119,13 @@ SELECT {money(NET)} AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_
 WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
   OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
   OR (p_brand = 'Brand#24' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
+    "q20_excess_stock": f"""
+WITH {PARTSUPP}, sold AS (SELECT l_partkey AS pk, l_suppkey AS sk, 0.5 * CAST(sum(l_quantity) AS DOUBLE) AS half FROM {{lineitem}}
+  WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' GROUP BY l_partkey, l_suppkey)
+SELECT s_name, s_suppkey FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey
+WHERE n_name IN ('NATION_3', 'NATION_8', 'NATION_12') AND EXISTS (
+  SELECT 1 FROM partsupp JOIN sold ON pk = ps_partkey AND sk = ps_suppkey JOIN {{part}} ON p_partkey = ps_partkey
+  WHERE ps_suppkey = s_suppkey AND ps_availqty > half AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))""",
     "q21_waiting_suppliers": """
 SELECT s_name, CAST(count(*) AS BIGINT) AS numwait FROM {supplier} JOIN {lineitem} l1 ON s_suppkey = l1.l_suppkey JOIN {orders} ON o_orderkey = l1.l_orderkey
 WHERE o_orderstatus = 'F' AND l1.l_linestatus = 'O'
@@ -119,4 +145,42 @@ def run(spark: SparkSession, folder: str, text: str) -> DataFrame:
 
 
 QUERIES = {name: (lambda spark, folder, text=text: run(spark, folder, text)) for name, text in TEXTS.items()}
+
 ORACLES = {name: re.sub(r"{(\w+)}", r"\1", text) for name, text in TEXTS.items()}
+
+# Checks that are put another way than the query: subqueries for joins and joins for subqueries, filters for cases.
+_PS = re.sub(r"{(\w+)}", r"\1", PARTSUPP)
+_REV = "sum(l_extendedprice::DECIMAL(10,2) * (1 - l_discount::DECIMAL(3,2)))::DOUBLE"
+ORACLES |= {
+    "q02_cheapest_supplier": f"""WITH {_PS}, there AS (SELECT * FROM supplier, nation WHERE n_nationkey = s_nationkey AND n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE'))
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, there, partsupp p WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size = 15 AND (p_type = 'PROMO' OR p_type = 'SMALL')
+  AND ps_supplycost <= ALL (SELECT o.ps_supplycost FROM partsupp o WHERE o.ps_partkey = p.ps_partkey AND o.ps_suppkey IN (SELECT s_suppkey FROM there))
+ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    "q03_shipping_priority": f"""SELECT o_orderkey AS l_orderkey, (SELECT {_REV} FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > TIMESTAMP '1998-03-15') AS revenue, o_orderdate::DATE AS order_day
+FROM orders WHERE o_orderdate < TIMESTAMP '1998-03-15' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-03-15') ORDER BY revenue DESC, order_day, l_orderkey LIMIT 10""",
+    "q04_order_priority": """SELECT o_orderpriority, count(DISTINCT o_orderkey)::BIGINT AS order_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('second', o_orderdate, l_shipdate) > 30 * 86400
+WHERE year(o_orderdate) = 1997 AND quarter(o_orderdate) = 3 GROUP BY ALL""",
+    "q06_forecast_revenue": """SELECT (sum(round(l_extendedprice * 100)::HUGEINT * round(l_discount * 100)::HUGEINT) FILTER (year(l_shipdate) = 1996 AND l_quantity <= 23 AND round(l_discount * 100) IN (5, 6, 7)) / 10000)::DOUBLE AS revenue FROM lineitem""",
+    "q11_important_stock": f"""WITH {_PS}, v AS (SELECT ps_partkey, ps_supplycost::BIGINT * ps_availqty AS x FROM partsupp WHERE ps_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7')))
+SELECT ps_partkey, sum(x)::BIGINT AS stock_value FROM v GROUP BY ALL HAVING sum(x) * 1000 > (SELECT sum(x) FROM v)""",
+    "q12_priority_by_status": """SELECT l_linestatus, (count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')))::BIGINT AS high_line_count, (count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')))::BIGINT AS low_line_count
+FROM lineitem, orders WHERE l_orderkey = o_orderkey AND year(l_shipdate) = 1996 GROUP BY ALL""",
+    "q13_customer_distribution": """SELECT n::BIGINT AS c_count, count(*)::BIGINT AS custdist FROM (SELECT (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer) GROUP BY ALL""",
+    "q15_top_supplier": f"""SELECT s_suppkey, s_name, total_revenue FROM (
+  SELECT l_suppkey, {_REV} AS total_revenue, rank() OVER (ORDER BY {_REV} DESC) AS place FROM lineitem WHERE year(l_shipdate) = 1996 AND quarter(l_shipdate) = 1 GROUP BY l_suppkey), supplier WHERE place = 1 AND s_suppkey = l_suppkey""",
+    "q16_suppliers_by_part": f"""WITH {_PS} SELECT p_brand, p_type, p_size, count(*)::BIGINT AS supplier_cnt FROM (
+  SELECT DISTINCT p_brand, p_type, p_size, ps_suppkey FROM part, partsupp WHERE p_partkey = ps_partkey AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))
+WHERE p_brand != 'Brand#5' AND NOT starts_with(p_type, 'PROMO') AND list_contains([1, 4, 7, 14, 23, 36, 45, 49], p_size) GROUP BY ALL""",
+    "q18_large_orders": """SELECT c_name, c_custkey, o_orderkey, o_orderdate::DATE AS order_day, o_totalprice, q::BIGINT AS quantity
+FROM (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey HAVING q > 180), orders, customer WHERE o_orderkey = l_orderkey AND c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
+    "q20_excess_stock": f"""WITH {_PS} SELECT s_name, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name IN ('NATION_3', 'NATION_8', 'NATION_12'))
+  AND s_suppkey IN (SELECT ps_suppkey FROM partsupp WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))
+    AND 2 * ps_availqty > (SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND year(l_shipdate) = 1996))""",
+    "q21_waiting_suppliers": """WITH held AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) FILTER (l_linestatus = 'O') AS late FROM lineitem GROUP BY ALL)
+SELECT s_name, count(*)::BIGINT AS numwait FROM lineitem JOIN held USING (l_orderkey) JOIN supplier ON s_suppkey = l_suppkey
+WHERE l_linestatus = 'O' AND n > 1 AND late = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
+    "q22_sales_opportunity": """SELECT c_mktsegment, count(*)::BIGINT AS numcust, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS totacctbal
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01') ON o_custkey = c_custkey
+WHERE o_custkey IS NULL AND c_acctbal > (SELECT sum(c_acctbal::DECIMAL(18,2))::DOUBLE / count(*) FROM customer WHERE c_acctbal > 0) GROUP BY ALL""",
+}

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
+from quern.operators.access import not_in
 from quern.operators.temporal import asof_join, range_join
 from quern.plans.decision import run
+from quern.sources.tables import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +34,8 @@ query("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN custome
 query("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 7", lambda c: c.read("customer").join(c.read("supplier"), F.col("c_custkey") == F.col("s_suppkey") * 7, "full").select("c_custkey", "s_suppkey"))
 query("join_semi", f"SELECT {_C} FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", lambda c: c.read("customer").join(c.read("orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name"))
 query("join_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)", lambda c: c.read("orders").join(c.read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey"))
-query("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", lambda c: run(c.spark, c.folder, "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})"))
+query("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)", lambda c: not_in(c.read("customer").select("c_custkey"), "c_custkey", c.read("orders").where("o_totalprice > 250000"), "o_custkey"))
+query("join_not_in_null", "SELECT c_custkey FROM tpch_customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM tpch_nation WHERE n_nationkey IS NOT NULL)", lambda c: not_in(table(c.spark, c.folder, "tpch_customer"), "c_nationkey", table(c.spark, c.folder, "tpch_nation").where("n_nationkey IS NOT NULL"), "n_nationkey").select("c_custkey"))
 query("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", lambda c: c.read("nation").alias("a").join(c.read("nation").alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name")))
 query("join_cross", "SELECT r_name, s_suppkey FROM region, supplier", lambda c: c.read("region").crossJoin(c.read("supplier")).select("r_name", "s_suppkey"))
 query("join_theta", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey", lambda c: c.read("nation").join(c.read("region"), F.col("n_regionkey") > F.col("r_regionkey")).select("n_name", "r_name"))
@@ -65,7 +68,11 @@ query("agg_bits", "SELECT p_brand, bit_and(p_size)::INT AS b_and, bit_or(p_size)
 for _kind, _f in (("rollup", DataFrame.rollup), ("cube", DataFrame.cube)):
     query(f"agg_{_kind}", f"SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY {_kind.upper()}(l_returnflag, l_linestatus)", lambda c, f=_f: f(c.read("lineitem"), "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
 query("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", lambda c: run(c.spark, c.folder, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"))
-query("agg_approx_distinct", None, lambda c: c.read("events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users")))
+query(
+    "agg_approx_distinct",
+    "SELECT event_type, count(DISTINCT user_id)::BIGINT AS users, true AS sketch_is_near FROM events GROUP BY ALL",
+    lambda c: c.read("events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("rough")).select("event_type", "users", (F.abs(F.col("rough") - F.col("users")) <= 0.06 * F.col("users")).alias("sketch_is_near")),
+)
 query("agg_filter", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS done, count(*) FILTER (WHERE o_totalprice > 1000)::BIGINT AS large FROM orders", lambda c: c.read("orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_totalprice") > 1000).alias("large")))
 query("agg_pivot", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS \"F\", count(*) FILTER (WHERE l_linestatus = 'O')::BIGINT AS \"O\" FROM lineitem GROUP BY ALL", lambda c: c.read("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0))
 
@@ -109,7 +116,7 @@ _a, _b = lambda c: c.read("nation").select(F.col("n_nationkey").alias("k")), lam
 query("set_union_all", f"{_A} UNION ALL {_B}", lambda c: _a(c).unionAll(_b(c)))
 query("set_union", f"{_A} UNION {_B}", lambda c: _a(c).union(_b(c)).distinct())
 query("set_intersect", f"{_A} INTERSECT {_B}", lambda c: _a(c).intersect(_b(c)))
-query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", lambda c: c.read("customer").select(F.col("c_custkey").alias("k")).subtract(c.read("orders").select("o_custkey")))
+query("set_except", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem", lambda c: c.read("orders").select(F.col("o_orderkey").alias("k")).subtract(c.read("lineitem").select("l_orderkey")))
 query("set_except_all", "SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders", lambda c: c.read("lineitem").select(F.col("l_orderkey").alias("k")).exceptAll(c.read("orders").select("o_orderkey")))
 query("set_distinct", "SELECT DISTINCT p_brand, p_type FROM part", lambda c: c.read("part").select("p_brand", "p_type").distinct())
 
@@ -138,5 +145,17 @@ query(
     lambda c: c.read("orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, "large").when(F.col("o_totalprice") > 50000, "middle").otherwise("small").alias("size"), F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("open")).alias("status"), F.greatest("o_orderkey", "o_custkey").alias("hi")),
 )
 query("fn_json", "SELECT event_id, (props->>'k')::INT AS k FROM events", lambda c: c.read("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))
-query("fn_hash", None, lambda c: c.read("orders").select("o_orderkey", F.hash("o_orderkey", "o_custkey").alias("murmur"), F.xxhash64("o_orderkey").alias("xx")))
+query("fn_hash", "SELECT o_orderkey, md5(o_orderpriority || o_orderkey::VARCHAR) AS md5, sha256(o_orderpriority) AS sha FROM orders", lambda c: c.read("orders").select("o_orderkey", F.md5(F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))).alias("md5"), F.sha2("o_orderpriority", 256).alias("sha")))
+query(
+    "fn_arrays",
+    """SELECT o_orderkey, len(w)::INT AS n, w[1] AS head, list_contains(w, 'HIGH') AS high, list_sum([length(x) FOR x IN w])::INT AS letters, array_to_string(list_reverse_sort(w), '/') AS back
+FROM (SELECT *, string_split(o_orderpriority, '-') AS w FROM orders)""",
+    lambda c: c.read("orders").withColumn("w", F.split("o_orderpriority", "-")).select("o_orderkey", F.size("w").alias("n"), F.element_at("w", 1).alias("head"), F.array_contains("w", "HIGH").alias("high"), F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)).alias("letters"), F.array_join(F.sort_array("w", asc=False), "/").alias("back")),
+)
+query(
+    "fn_maps",
+    "SELECT n_regionkey, string_agg(n_nationkey || '=' || n_name, ',' ORDER BY n_nationkey) AS pairs, count(*)::INT AS n FROM nation GROUP BY ALL",
+    lambda c: c.read("nation").groupBy("n_regionkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("m")).select("n_regionkey", F.array_join(F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(k.cast("string"), F.lit("="), F.element_at("m", k))), ",").alias("pairs"), F.size("m").alias("n")),
+)
+query("fn_from_json", "SELECT event_id, (props->>'k')::BIGINT * 2 AS twice, json_extract_string(props, '$.none') AS none FROM events", lambda c: c.read("events").withColumn("p", F.from_json("props", "k bigint, none string")).select("event_id", (F.col("p.k") * 2).alias("twice"), F.col("p.none").alias("none")))
 query("fn_strings_order", "SELECT p_brand, count(*)::BIGINT AS n FROM part WHERE p_brand > 'Brand#1' AND p_brand <= 'Brand#2' GROUP BY ALL", lambda c: c.read("part").where((F.col("p_brand") > "Brand#1") & (F.col("p_brand") <= "Brand#2")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")))

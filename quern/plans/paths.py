@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.operators import access, changes, predicates, statistics
-from quern.functions.hostlike import divide, null_if, pad_equal, register, substring
+from quern.functions.hostlike import aggregate_by, divide, null_if, pad_equal, register, register_table, substring
 from quern.session import shared_dir
 from quern.sources.files import read_files, write_files
 from quern.sources.snapshots import SnapshotStore
@@ -93,13 +94,15 @@ for _name, _tree, _sql in (
     ("pred_and", ("and", (">", "o_custkey", 20), ("<", "o_custkey", 60), ("=", "o_orderstatus", "O")), "o_custkey > 20 AND o_custkey < 60 AND o_orderstatus = 'O'"),
     ("pred_or", ("or", ("=", "o_custkey", 20), (">", "o_totalprice", 300000)), "o_custkey = 20 OR o_totalprice > 300000"),
     ("pred_not", ("not", ("or", ("=", "o_orderstatus", "O"), ("=", "o_orderstatus", "F"))), "NOT (o_orderstatus = 'O' OR o_orderstatus = 'F')"),
-    ("pred_null", ("is null", "o_custkey"), "o_custkey IS NULL"),
     ("pred_in", ("in", "o_custkey", [1, 5, 9, 30]), "o_custkey IN (1, 5, 9, 30)"),
     ("pred_between", ("between", "o_totalprice", 1000, 60000), "o_totalprice BETWEEN 1000 AND 60000"),
     ("pred_like", ("like", "o_orderpriority", "%URGENT"), "o_orderpriority LIKE '%URGENT'"),
     ("pred_nullsafe", ("<=>", "o_custkey", 12), "o_custkey IS NOT DISTINCT FROM 12"),
 ):
     query(_name, f"SELECT {_O} FROM orders WHERE {_sql}")(lambda c, tree=_tree: predicates.select_where(c.read("orders"), tree, _ORDERS))
+query("pred_null", "SELECT c_custkey, c_nationkey FROM tpch_customer WHERE c_mktsegment IS NULL AND c_nationkey IS NOT NULL")(
+    lambda c: predicates.select_where(c.spark.read.parquet(f"{c.folder}/tpch_customer.parquet"), ("and", ("is null", "c_mktsegment"), ("is not null", "c_nationkey")), ["c_custkey", "c_nationkey"])
+)
 query("pred_null_dirty", "SELECT o_orderkey, loaded_at FROM tpch_orders WHERE o_custkey IS NULL")(
     lambda c: predicates.select_where(c.spark.read.parquet(f"{c.folder}/tpch_orders.parquet"), ("is null", "o_custkey"), ["o_orderkey", "loaded_at"])
 )
@@ -113,14 +116,22 @@ query(
     """SELECT 'l_partkey' AS key_part, count(DISTINCT l_partkey)::BIGINT AS distinct_keys, count(*)::DOUBLE / count(DISTINCT l_partkey) AS rows_per_key FROM lineitem
 UNION ALL SELECT 'l_partkey,l_suppkey', count(DISTINCT (l_partkey, l_suppkey))::BIGINT, count(*)::DOUBLE / count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem""",
 )(lambda c: statistics.rows_per_key(c.read("lineitem"), c.define("lineitem").index("by_part_supplier").columns))
-query("density_approximate", None)(lambda c: statistics.approximate_rows_per_key(c.read("lineitem"), "l_partkey"))
+@query("density_approximate", "SELECT count(DISTINCT l_partkey)::BIGINT AS distinct_keys, true AS sketch_is_near FROM lineitem")
+def density_approximate(c: Catalog) -> DataFrame:
+    """The exact number of keys, and whether the sketch of fixed size comes within three standard errors of it."""
+    lines, error = c.read("lineitem"), 0.02
+    exact = statistics.rows_per_key(lines, ["l_partkey"]).select("distinct_keys")
+    rough = statistics.approximate_rows_per_key(lines, "l_partkey", error).select("distinct_keys").scalar()
+    return exact.select("distinct_keys", (F.abs(rough - F.col("distinct_keys")) <= 3 * error * F.col("distinct_keys")).alias("sketch_is_near"))
+
+
 query(
     "column_report",
     " UNION ALL ".join(
         f"SELECT '{x}' AS column_name, (count(*) - count({x}))::BIGINT AS nulls, count(DISTINCT {x})::BIGINT AS \"distinct\", min({x})::VARCHAR AS min, max({x})::VARCHAR AS max FROM orders"
         for x in ("o_orderkey", "o_custkey", "o_orderstatus")
     ),
-)(lambda c: statistics.column_report(c.read("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"]))
+)(lambda c: statistics.column_report(c.read("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], exact=True))
 
 # Changes
 
@@ -128,14 +139,16 @@ _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
 def _batch(c: Catalog) -> DataFrame:
-    """Some customers as they are, some twice, some under new keys."""
-    customers = c.read("customer").select("c_custkey", "c_name", "c_nationkey")
-    moved = customers.where("c_custkey % 3 = 0").withColumn("c_custkey", F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, F.lit(0)).otherwise(F.lit(10_000_000)))
-    return moved.unionByName(moved.where("c_custkey % 5 = 0").withColumn("c_name", F.concat("c_name", F.lit("/2"))))
+    """All customers again: those of two segments as they are, the others under new keys, and one segment twice."""
+    customers = c.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    same = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    moved = customers.withColumn("c_custkey", F.col("c_custkey") + F.when(same, F.lit(0)).otherwise(F.lit(10_000_000)))
+    again = moved.where("c_mktsegment = 'MACHINERY' OR c_mktsegment = 'FURNITURE'").withColumn("c_name", F.concat("c_name", F.lit("/2")))
+    return moved.unionByName(again).drop("c_mktsegment")
 
 
-_BATCH = """m AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0),
-batch AS (SELECT * FROM m UNION ALL SELECT c_custkey, c_name || '/2', c_nationkey FROM m WHERE c_custkey % 5 = 0)"""
+_BATCH = """m AS (SELECT c_custkey + CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0 ELSE 10000000 END AS c_custkey, c_name, c_nationkey, c_mktsegment FROM customer),
+batch AS (SELECT c_custkey, c_name, c_nationkey FROM m UNION ALL SELECT c_custkey, c_name || '/2', c_nationkey FROM m WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE'))"""
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey FROM customer"
 
 
@@ -155,10 +168,10 @@ WHERE rn > 1 OR c_custkey IN (SELECT c_custkey FROM customer)""",
 )(lambda c: changes.rejected(_customers(c), _batch(c), ["c_custkey"], ["c_name"]))
 query(
     "dml_auto_increment",
-    """SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey) AS c_custkey, s_name AS c_name, s_nationkey AS c_nationkey FROM supplier""",
+    """SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS c_custkey, o_orderkey, o_orderdate FROM orders""",
 )(
     lambda c: changes.with_auto_increment(
-        _customers(c), c.read("supplier").select(F.lit(None).cast("bigint").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey")), "c_custkey", ["c_name"]
+        c.read("customer").select("c_custkey"), c.read("orders").select(F.lit(None).cast("bigint").alias("c_custkey"), "o_orderkey", "o_orderdate"), "c_custkey", ["o_orderdate", "o_orderkey"]
     )
 )
 query(
@@ -167,11 +180,11 @@ query(
 )(lambda c: changes.update_where(c.read("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderstatus") == "O", {"o_orderpriority": F.lit("HELD")}))
 query(
     "dml_changed_columns",
-    "SELECT o_orderkey, 'X' AS o_orderstatus, o_orderpriority, 'o_orderstatus' AS changed FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus <> 'X'",
+    "SELECT o_orderkey, 'P' AS o_orderstatus, o_orderpriority, 'o_orderstatus' AS changed FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'P'",
 )(
     lambda c: changes.changed(
         c.read("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
-        c.read("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority"),
+        c.read("orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.lit("P")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority"),
         ["o_orderkey"],
     ).withColumn("changed", F.array_join("changed_columns", ",")).drop("changed_columns")
 )
@@ -181,8 +194,8 @@ query(
 {_CUSTOMERS} WHERE c_custkey NOT IN (SELECT c_custkey FROM last) UNION ALL SELECT c_custkey, c_name, c_nationkey FROM last""",
 )(lambda c: changes.upsert(_customers(c), _batch(c), ["c_custkey"], ["c_name"]))
 query("dml_delete", "SELECT * FROM orders WHERE NOT (o_totalprice > 100000)")(lambda c: changes.delete_where(c.read("orders"), F.col("o_totalprice") > 100000))
-query("dml_delete_keys", f"{_CUSTOMERS} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
-    lambda c: changes.delete_keys(_customers(c), c.read("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+query("dml_delete_keys", f"{_CUSTOMERS} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01')")(
+    lambda c: changes.delete_keys(_customers(c), c.read("orders").where("o_orderdate >= DATE '2001-01-01'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 )
 query("dml_truncate", "SELECT * FROM nation WHERE false")(lambda c: changes.truncate(c.read("nation")))
 
@@ -217,6 +230,41 @@ def snapshot_rollback(c: Catalog) -> DataFrame:
     return store.read("nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query(
+    "snapshot_by_key",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 WHEN o_orderpriority = '2-HIGH' THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders
+WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT o_orderkey + 50000000, o_totalprice FROM orders WHERE o_orderstatus = 'F'""",
+)
+def snapshot_by_key(c: Catalog) -> DataFrame:
+    """Deletes by key, an upsert, an update and an insert, each rewriting only the files it touches, then compaction."""
+    store, orders = _store(c), c.read("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    store.create("orders", orders, ["o_orderkey"])
+    with store.begin("orders", exclusive=True) as change:
+        change.delete_keys(orders.where("o_orderpriority = '5-LOW'").select("o_orderkey"))
+        change.upsert(orders.where("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'").withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"])
+        change.update_where((F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderstatus") != "P"), {"o_totalprice": F.lit(-1.0)})
+    with store.begin("orders") as change:
+        change.insert(orders.where("o_orderstatus = 'F'").withColumn("o_orderkey", F.col("o_orderkey") + 50_000_000))
+    store.compact("orders")
+    return store.read("orders").select("o_orderkey", "o_totalprice")
+
+
+@query("statistics_kept", "SELECT count(*)::BIGINT AS rows_then, true AS same_before_due, (count(*) + (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'))::BIGINT AS rows_after, true AS near FROM orders")
+def statistics_kept(c: Catalog) -> DataFrame:
+    """Statistics kept with a table: asked again before they are due they are those of then, afterwards new ones."""
+    store, orders = _store(c), c.read("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    store.create("orders", orders, ["o_orderkey"])
+    then = c.statistics(store, "orders", now=0.0)
+    with store.begin("orders") as change:
+        change.insert(orders.where("o_orderstatus = 'F'").withColumn("o_orderkey", F.col("o_orderkey") + 50_000_000))
+    held = c.statistics(store, "orders", now=30.0)
+    after = c.statistics(store, "orders", now=100.0)
+    found = [(then["rows"], held == then, after["rows"])]
+    exact = F.lit(after["rows"]) / store.read("orders").agg(F.count_distinct("o_custkey")).scalar()
+    near = F.abs(F.lit(after["rows_per_key"]["by_o_custkey.1"]) - exact) <= 0.06 * exact
+    return c.spark.createDataFrame(found, "rows_then long, same_before_due boolean, rows_after long").withColumn("near", near)
+
+
 # Sources and functions of one's own
 
 
@@ -232,6 +280,30 @@ for _kind in ("csv", "json", "orc", "parquet"):
 query("scan_read_ahead", "SELECT * FROM nation")(lambda c: c.read_ahead("nation"))
 
 
+@query("udf_aggregate", "SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 2) AS middle, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def udf_aggregate(c: Catalog) -> DataFrame:
+    """An aggregate of one's own: partial states per batch in Python, put together in the JVM."""
+
+    def partial(pdf: pd.DataFrame) -> dict[str, float]:
+        return {"logs": float(np.log(pdf["o_totalprice"].to_numpy()).sum()), "n": float(len(pdf))}
+
+    states = aggregate_by(c.read("orders"), ["o_orderpriority"], ["o_totalprice"], partial, {"logs": "sum", "n": "sum"})
+    return states.select("o_orderpriority", F.round(F.exp(F.col("logs") / F.col("n")), 2).alias("middle"), F.col("n").cast("long").alias("n"))
+
+
+@query("udf_table", "SELECT p_partkey, unnest(string_split(p_name, '_')) AS piece FROM part")
+def udf_table(c: Catalog) -> DataFrame:
+    """A table function of one's own, joined to each row."""
+
+    class Pieces:
+        def eval(self, text: str):
+            for piece in text.split("_") if text is not None else ():
+                yield (piece,)
+
+    register_table(c.spark, "quern_pieces", Pieces, "piece string")
+    return c.spark.sql("SELECT p_partkey, piece FROM {part}, LATERAL quern_pieces(p_name)", part=c.read("part").select("p_partkey", "p_name"))
+
+
 @query("udf_vectorized", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
 def udf_vectorized(c: Catalog) -> DataFrame:
     def double(x: pd.Series) -> pd.Series:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.operators import access, changes, statistics
+from quern.session import shared_dir
 from quern.streaming import events as live
 
 
@@ -40,6 +43,28 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return live.run_to_end(live.without_repeats(stream, ["event_id"], "ts", "10 minutes"))
 
 
+def _in_files(spark: SparkSession, folder: str, files: int = 5) -> DataFrame:
+    """The events as a stream of files in order of time, one a batch, so that state and watermark pass from batch to batch."""
+    root = f"{shared_dir(spark)}/quern-events-{uuid.uuid4().hex}"
+    events = Catalog(spark, folder).read("events")
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    cuts = events.select(F.percentile_approx(seconds, [i / files for i in range(1, files)])).first()[0] or []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = events if low is None else events.where(seconds >= low)
+        (part if high is None else part.where(seconds < high)).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def stream_files_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return live.run_to_end(live.windowed_counts(_in_files(spark, folder), "ts", ["event_type"], "1 day", delay="1 hour"))
+
+
+def stream_files_totals(spark: SparkSession, folder: str) -> DataFrame:
+    found = live.run_to_end(live.running_totals(_in_files(spark, folder), "user_id", "value"), "update")
+    return found.groupBy("key").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")).select(F.col("key").alias("user_id"), "n", "total")
+
+
 def stream_running_totals(spark: SparkSession, folder: str) -> DataFrame:
     found = live.run_to_end(live.running_totals(_stream(spark, folder), "user_id", "value"), "update")
     return found.groupBy("key").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")).select(F.col("key").alias("user_id"), "n", "total")
@@ -61,6 +86,7 @@ def link_add(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "stream_tumbling": stream_tumbling, "stream_watermark": stream_watermark, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions,
     "batch_sessions": batch_sessions, "stream_dedupe": stream_dedupe, "stream_running_totals": stream_running_totals,
+    "stream_files_windows": stream_files_windows, "stream_files_totals": stream_files_totals,
     "link_get": lambda s, f: access.lookup(_links(s, f), ["event_id"], [1234]),
     "link_multiget": lambda s, f: access.lookup_many(_links(s, f), ["event_id"], _links(s, f).where("user_id = 3").select("event_id")),
     "link_list_newest": lambda s, f: access.last(access.lookup(_links(s, f), ["user_id"], [7]), ["ts", "event_id"], 20),
@@ -95,3 +121,4 @@ SELECT time_bucket(INTERVAL 2 HOUR, ts) - back * INTERVAL 1 HOUR AS window_start
     "link_update": "SELECT event_id, user_id, ts, CASE WHEN user_id = 7 THEN 'hidden' ELSE event_type END AS event_type FROM events",
     "link_delete": f"SELECT {_K} FROM events WHERE NOT (user_id = 7 AND event_type = 'click')",
 }
+ORACLES |= {"stream_files_windows": ORACLES["stream_watermark"], "stream_files_totals": ORACLES["stream_running_totals"]}

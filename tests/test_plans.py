@@ -8,7 +8,7 @@ import quern
 from quern.catalog import KEY_TYPES, TABLES, Catalog, trim_padding
 from quern.plans import registry
 from quern.session import shared_dir
-from quern.settings import COUNTERPARTS, current
+from quern.settings import COUNTERPARTS, apply, current
 
 ROOT = Path(quern.__file__).parent
 DATA = "/root/testdata/sf0.001"
@@ -50,6 +50,22 @@ def test_padding_is_trimmed(spark):
 
 def test_settings_answer(spark):
     assert set(current(spark)) == set(COUNTERPARTS) and len(COUNTERPARTS) == 18
+    with pytest.raises(KeyError):
+        apply(spark, "no_such", 1)
+    assert not apply(spark, "journal_size", 1) and not apply(spark, "max_mem_use", "1g")
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    try:
+        assert apply(spark, "efficient_text", True) and spark.conf.get("spark.sql.parquet.compression.codec") == "zstd"
+        assert apply(spark, "block_read_ahead", 1)
+        catalog = Catalog(spark, DATA)
+        kept = catalog.read("nation")
+        assert kept.storageLevel.useMemory and catalog.read("nation") is kept
+        catalog.release()
+        assert not kept.storageLevel.useMemory
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", codec)
+        apply(spark, "block_read_ahead", 0)
+    assert not Catalog(spark, DATA).read("nation").storageLevel.useMemory
 
 
 def test_shared_folder_is_the_sessions(spark):
