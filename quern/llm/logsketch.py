@@ -48,6 +48,16 @@ def merge_counts(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "sign", "bucket").agg(F.sum("n").alias("n"))
 
 
+def group_levels(sketches: DataFrame, groups: list[str], levels: dict[str, list[Column]]) -> DataFrame:
+    """(level, groups, sign, bucket, n): sketches put together for several groupings at once, in one pass.
+
+    Each level gives the values its rows have in the columns of groups.
+    """
+    rows = [F.struct(F.lit(name).alias("level"), *(c.alias(g) for c, g in zip(columns, groups, strict=True))) for name, columns in levels.items()]
+    spread = sketches.select(F.explode(F.array(*rows)).alias("__g"), "sign", "bucket", "n").select("__g.*", "sign", "bucket", "n")
+    return merge_counts(spread, ["level", *groups])
+
+
 def percentiles(sketches: DataFrame, groups: list[str], quantiles: list[float], accuracy: float = ACCURACY) -> DataFrame:
     """(groups, quantile, value, n_values): of n sorted values the one at place floor(q * (n - 1)), within the accuracy."""
     g = gamma(accuracy)
@@ -55,7 +65,6 @@ def percentiles(sketches: DataFrame, groups: list[str], quantiles: list[float],
     ordered = side.orderBy("sign", F.col("sign") * F.col("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     upto = sketches.withColumn("__upto", F.sum("n").over(ordered)).withColumn("__all", F.sum("n").over(side))
     middle = F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(F.col("sign") * F.lit(2.0) * F.pow(F.lit(g), F.col("bucket").cast("double")) / F.lit(g + 1))
-    asked = upto.withColumn("quantile", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))))
-    place = F.floor(F.col("quantile") * (F.col("__all") - 1))
-    hit = asked.where((F.col("__upto") > place) & (F.col("__upto") - F.col("n") <= place))
-    return hit.select(*groups, "quantile", middle.alias("value"), F.col("__all").alias("n_values"))
+    place = lambda q: F.floor(q * (F.col("__all") - 1))
+    hit = F.filter(F.array(*(F.lit(float(q)) for q in quantiles)), lambda q: (F.col("__upto") > place(q)) & (F.col("__upto") - F.col("n") <= place(q)))
+    return upto.select(*groups, middle.alias("value"), F.col("__all").alias("n_values"), F.explode(hit).alias("quantile"))

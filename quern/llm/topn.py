@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import materialize
+
 #: Rows looked at together; memory of a task is a few times this.
 BLOCK_ROWS = 200_000
 #: Bounds that are broadcast at most. Groups without one are small beside the whole and are ranked as they are.
@@ -74,7 +76,8 @@ def top_n_per_group(
     """
     work = df.where(F.col(score).isNotNull())
     keys = work.select(F.col(group).alias("g"), F.col(score).alias("s"), F.col(tie).alias("t"))
-    local = partition_bounds(keys, n, block_rows)
+    # Read twice below; one row a block and group of n rows or more.
+    local = materialize(partition_bounds(keys, n, block_rows), "bounds")
     best = Window.partitionBy("g").orderBy(F.col("s").desc(), F.col("t").asc())
     sizes = Window.partitionBy("g")
     bounds = local.select("*", F.row_number().over(best).alias("r"), F.sum("rows").over(sizes).alias("held")).where("r = 1")

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +47,36 @@ def test_set_operations(spark):
         assert r.in_both_low <= r.in_both <= r.in_both_high
     none = kmv.compare(packed, F.col("g") == "a", F.col("g") == "missing", "a", "missing").collect()[0]
     assert none.in_both == 0 and none.only_a == none.in_union
+
+
+@pytest.mark.parametrize("block", [7, 50, 10_000])
+def test_cut_to_the_smallest(spark, monkeypatch, block):
+    monkeypatch.setattr(kmv, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1, 2]), rng.choice([None, *range(60)])) for _ in range(900)]
+    got = kmv.merge(spark.createDataFrame(rows, "g string, p int, h long").repartition(5), ["g", "p"], 20).collect()
+    want = []
+    for group in {r[:2] for r in rows}:
+        values = sorted({r[2] for r in rows if r[:2] == group}, key=lambda v: (v is None, v))
+        want += [(*group, v) for v in values[:20]]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("k", [64, 256])
+def test_orders_within_bounds(spark, k):
+    """Groups of many more customers than k: estimates, bounds and sets against exact counts."""
+    orders = spark.read.parquet("/root/testdata/sf0.1/tpch_orders.parquet").select(F.upper(F.trim("o_orderpriority")).alias("p"), "o_custkey").dropna().distinct()
+    exact = {}
+    for r in orders.collect():
+        exact.setdefault(r.p, set()).add(r.o_custkey)
+    sketches = kmv.sketch(orders, ["p"], ["o_custkey"], k)
+    counted = {r.p: r for r in kmv.distinct_counts(sketches, ["p"], k).collect()}
+    assert min(map(len, exact.values())) > 4 * k
+    held = [(len(exact[p]), r.distinct_items, r.distinct_items_low, r.distinct_items_high) for p, r in counted.items()]
+    packed = kmv.pack(sketches, ["p"], k).cache()
+    for a, b in itertools.combinations(sorted(exact), 2):
+        r = kmv.compare(packed, F.col("p") == a, F.col("p") == b, a, b).first()
+        for name, true in (("in_union", exact[a] | exact[b]), ("in_both", exact[a] & exact[b]), ("only_a", exact[a] - exact[b])):
+            held.append((len(true), r[name], r[f"{name}_low"], r[f"{name}_high"]))
+    assert sum(low <= n <= high for n, _, low, high in held) >= 0.85 * len(held)
+    assert all(abs(value - n) <= 5 * max(n, len(exact["2-FAST"])) / k**0.5 for n, value, _, _ in held)

@@ -1,5 +1,7 @@
 """Shapes that must survive a hot group."""
 
+from pyspark.sql import functions as F
+
 from quern.llm import kmv, orders
 
 DATA = "/root/testdata/sf0.001"
@@ -10,8 +12,9 @@ def plan(df):
 
 
 def test_sketches_are_cut_before_the_shuffle(spark):
-    assert plan(orders.p2_found(spark, DATA)).count("WindowGroupLimit") >= 2
-    assert kmv.K <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    text = plan(kmv.sketch(spark.range(100).select((F.col("id") % 3).alias("g"), "id"), ["g"], ["id"]))
+    lowest = text.rindex("Exchange hashpartitioning")
+    assert "MapInArrow" in text[lowest:] and "Window" not in text[lowest:]
 
 
 def test_no_products(spark):
