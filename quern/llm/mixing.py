@@ -9,12 +9,13 @@ of each source is set so that, with the draws as they are, its tokens come to th
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,29 +33,40 @@ TOP_RATE = 700.0
 _encoders: dict[tuple[str, str], object] = {}
 
 
-def encoder(vocabulary: str, pattern: str = PATTERN):
-    """The tokenizer of a vocabulary file; one in a process."""
-    key = (vocabulary, pattern)
+def encoder(ranks: bytes, pattern: str = PATTERN):
+    """The tokenizer of a vocabulary file's content; one in a process."""
+    key = (hashlib.sha256(ranks).hexdigest(), pattern)
     if key not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        _encoders[key] = tiktoken.Encoding("quern", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        merges = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line.strip())}
+        _encoders[key] = tiktoken.Encoding("quern", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
     return _encoders[key]
 
 
+def read_vocabulary(vocabulary: str) -> bytes:
+    """The content of a vocabulary file, as the driver sees it; some megabytes whatever the data."""
+    with open(vocabulary, "rb") as lines:
+        return lines.read()
+
+
 def count_tokens(df: DataFrame, text: str, keep: list[str], *, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(keep, n_tokens): tokens of each text; 0 for a null or empty one. Special tokens are plain text here."""
+    """(keep, n_tokens): tokens of each text; 0 for a null or empty one. Special tokens are plain text here.
+
+    The vocabulary is sent to the executors; they need no file of their own.
+    """
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType())])
+    ranks = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    held = text in keep
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(vocabulary, pattern)
-        for pdf in batches:
-            counts = [len(code.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf["__text"].tolist()]
-            yield pdf[keep].assign(n_tokens=np.array(counts, dtype="int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(ranks.value, pattern)
+        for batch in batches:
+            texts = batch.column(keep.index(text) if held else len(keep))
+            counts = [len(code.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], [*keep, "n_tokens"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return df.select(*keep, *([] if held else [F.col(text).alias("__text")])).mapInArrow(run, schema)
 
 
 def clean_source(column: Column) -> Column:
@@ -151,19 +163,20 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report): the records of the mix in a random order, and the shares it reached.
 
-    mix has record_id, source_name, copy_no from 1, n_tokens. Records of sources that are no target (or
+    mix has record_id, source_name, copy_no from 1, n_tokens and text. Records of sources that are no target (or
     null) and records without tokens are in no mix. report has a row per target: source_name,
     target_share, max_repeats, source_tokens, mixed_records, mixed_tokens, reached_share, most_repeats.
     An empty table gives an empty mix and a report of zeros. A repeated id is two records with one draw.
 
-    Texts are tokenized once; counts are kept in the shared folder. What reaches the driver is a table of
+    Texts are tokenized once and kept in the shared folder with their counts, so that no record has to be
+    joined to its text again; the text is read back for the records taken, once each. What reaches the driver is a table of
     CELLS sums a source. Every record decides on its own, so a source with most of the rows is spread as
     the files are, and the order is a shuffle by hash.
     """
     asked = read_targets(targets)
     named = documents.withColumn("__source", clean_source(F.col(source)))
     keep = named.where(F.col("__source").isin([s for s, _, _ in asked]))
-    counted = materialize(count_tokens(keep, text, [record_id, "__source"], vocabulary=vocabulary, pattern=pattern), "tokens")
+    counted = materialize(count_tokens(keep.withColumn("__text", F.col(text)), "__text", [record_id, "__source", "__text"], vocabulary=vocabulary, pattern=pattern), "tokens")
     drawn = counted.where(F.col("n_tokens") > 0).withColumn("__u", draw(record_id, seed))
 
     sums = drawn.groupBy("__source", F.floor(F.col("__u") * CELLS).cast("int").alias("cell")).agg(F.sum("n_tokens").alias("n")).collect()
@@ -177,7 +190,7 @@ def mix_sources(
         steps = F.when(F.col("__source") == plan.source, F.array(*(F.lit(x) for x in plan.steps)).cast("array<double>")).otherwise(steps)
     taken = F.size(F.filter(steps, lambda step: (step < 1.0) & (F.col("__u") >= step)))
     copies = drawn.withColumn("__k", taken).where(F.col("__k") > 0)
-    mix = copies.select(record_id, F.col("__source").alias("source_name"), F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy_no"), "n_tokens")
+    mix = copies.select(record_id, F.col("__source").alias("source_name"), F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy_no"), "n_tokens", F.col("__text").alias("text"))
     place = F.xxhash64(F.col(record_id), F.col("copy_no"), F.lit(seed + 1))
     shuffled = mix.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place").drop("__place")
 

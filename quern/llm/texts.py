@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.leakage import find_leaks
-from quern.llm.mixing import mix_sources
+from quern.llm.mixing import clean_source, mix_sources
 from quern.sources.tables import table
 
 
@@ -29,5 +29,33 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLES: dict[str, str] = {}
+#: How far a source's share may be off; the draws of few records leave some tokens to chance.
+NEAR = 0.02
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself against what was asked: a row a source, its documents to draw from, whether shares, caps and texts are kept."""
+    documents = table(spark, folder, "documents")
+    mix, report = mix_sources(documents, table(spark, folder, "source_targets"))
+    live = report.where("source_tokens > 0").agg(F.sum("target_share")).scalar()
+    whole = mix.agg(F.sum("n_tokens")).scalar()
+    per_record = mix.groupBy("source_name", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("n_tokens").alias("tokens"), F.min("copy_no").alias("first"), F.max("copy_no").alias("last"), F.min("text").alias("a"), F.max("text").alias("b"))
+    checked = per_record.join(documents.select("doc_id", F.col("text").alias("own")), "doc_id")
+    same = (F.col("a") == F.col("own")) & (F.col("b") == F.col("own")) & (F.col("first") == 1) & (F.col("last") == F.col("times"))
+    taken = checked.groupBy("source_name").agg(F.max("times").alias("most"), F.sum("tokens").alias("tokens"), F.min(same).alias("texts_kept"))
+    has = documents.where("length(text) > 0").groupBy(clean_source(F.col("source")).alias("source_name")).agg(F.count(F.lit(1)).alias("documents"))
+    joined = report.select("source_name", "target_share", "max_repeats").join(taken, "source_name", "left").join(has, "source_name", "left")
+    reached = F.coalesce(F.col("tokens") / whole, F.lit(0.0))
+    wanted = F.when(F.col("documents").isNull(), F.lit(0.0)).otherwise(F.col("target_share") / live)
+    return joined.select(
+        "source_name", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), (F.abs(reached - wanted) <= NEAR).alias("share_kept"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"), F.coalesce("texts_kept", F.lit(True)).alias("texts_kept"),
+    )
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept}
+ORACLES: dict[str, str] = {
+    "p8_kept": """SELECT replace(lower(trim(source_name)), '-', '') AS source_name, target_share, max_repeats,
+  (SELECT count(*) FROM documents WHERE length(text) > 0 AND replace(lower(trim(source)), '-', '') = replace(lower(trim(source_name)), '-', ''))::BIGINT AS documents,
+  true AS share_kept, true AS cap_kept, true AS texts_kept FROM source_targets""",
+}

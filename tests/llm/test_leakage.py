@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quern.llm.leakage import ShiftSearch, find_leaks
+from quern.llm.leakage import Patterns, ShiftSearch, find_leaks
 from quern.llm.reading import words
 
 ITEM = "One two three four five six seven eight nine ten eleven twelve 67th coefficient fine."
@@ -67,6 +67,19 @@ def test_empty_tables_and_repeats(spark):
     assert leaks(spark, [ITEM, ITEM], [(1, ITEM), (2, ITEM)]) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
+def engine(*items):
+    patterns = Patterns()
+    for item, text in items:
+        patterns.add(item, words(text))
+    return ShiftSearch(patterns)
+
+
 def test_very_long_text():
-    search = ShiftSearch([(1, words(ITEM))])
-    assert search.find(["filler"] * 300_000 + words(ITEM)) == {1}
+    search = engine((1, ITEM))
+    for before in (0, 1, 4084, 4085, 4090, 4096, 300_000):
+        assert search.find([["filler"] * before + words(ITEM) + ["filler"] * 5_000, words(ITEM)]) == [(0, 1), (1, 1)]
+
+
+def test_many_items_with_one_stretch():
+    search = engine(*((i, f"start{i} " + ITEM) for i in range(3000)))
+    assert search.find([words(ITEM)] * 500) == [(k, i) for k in range(500) for i in range(3000)]

@@ -68,6 +68,6 @@ def test_tokens_are_whole_texts(spark):
     text = "The quick brown fox <|endoftext|> jumps.\n\n  Zwölf Boxkämpfer! " * 50
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "text", ["doc_id"]).collect()}
-    code = mixing.encoder(mixing.VOCABULARY)
+    code = mixing.encoder(mixing.read_vocabulary(mixing.VOCABULARY))
     assert got == {1: len(code.encode_ordinary(text)), 2: 0, 3: 0}
     assert code.decode(code.encode_ordinary(text)) == text
