@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.leakage import find_leaks
+from quern.llm.leakage import LENGTH, find_leaks
 from quern.llm.mixing import clean_source, mix_sources
+from quern.llm.reading import BLOCKS
 from quern.sources.tables import table
 
 
@@ -54,7 +55,38 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept}
+_BLOCK_TAGS = f"</?({BLOCKS})(\\s[^<>]*)?/?>"
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": " ", "&#x27;": " ", "&apos;": " ", "&amp;": "&"}
+_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u00df": "ss"}
+
+
+def _plain_sql(column: str) -> str:
+    """Words of a text in SQL: tags, entities, link targets, unseen characters, full-width letters and ligatures taken away."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = f"regexp_replace(regexp_replace({column}, {quoted(_BLOCK_TAGS)}, ' ', 'gi'), '</?[a-zA-Z][a-zA-Z0-9]*(\\s[^<>]*)?/?>|<!--.*?-->', '', 'g')"
+    for entity, letter in _ENTITIES.items():
+        found = f"replace({found}, {quoted(entity)}, {quoted(letter)})"
+    found = f"regexp_replace({found}, '!?\\[([^\\[\\]]*)\\]\\([^()\\s]*\\)', '\\1', 'g')"
+    found = f"regexp_replace({found}, '[\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+    found = f"regexp_replace({found}, '([\\p{{L}}\\p{{N}}])(\\*{{1,3}}|~~|`)([\\p{{L}}\\p{{N}}])', '\\1\\3', 'g')"
+    found = f"lower(translate({found}, {quoted(_FULL)}, {quoted(_HALF)}))"
+    for letter, plain in _LIGATURES.items():
+        found = f"replace({found}, '{letter}', '{plain}')"
+    return f"regexp_extract_all({found}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_plain_sql('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_plain_sql('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {LENGTH - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + {LENGTH - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS k FROM i)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
+
 ORACLES: dict[str, str] = {
+    "p7_found": _LEAKS + "SELECT doc_id, item_id FROM hits",
+    "p7_items": _LEAKS + "SELECT item_id, suite, (SELECT count(*) FROM hits WHERE hits.item_id = e.item_id)::BIGINT AS documents FROM eval_items e",
     "p8_kept": """SELECT replace(lower(trim(source_name)), '-', '') AS source_name, target_share, max_repeats,
   (SELECT count(*) FROM documents WHERE length(text) > 0 AND replace(lower(trim(source)), '-', '') = replace(lower(trim(source_name)), '-', ''))::BIGINT AS documents,
   true AS share_kept, true AS cap_kept, true AS texts_kept FROM source_targets""",
