@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.skew import HOT_PARTS, join_counted
 from quern.session import materialize
 
 #: Items of a basket expanded in one go.
@@ -116,17 +117,18 @@ def upper_tail(null: Null, class_a: np.ndarray, class_b: np.ndarray, count: np.n
 
 
 def _histogram(sizes: DataFrame, size: str) -> list[tuple[int, float, int]]:
-    rows = sizes.groupBy(degree_class(F.col(size)).alias("c")).agg(F.avg(size).alias("d"), F.count(F.lit(1)).alias("n")).orderBy("c").collect()
-    return [(r.c, float(r.d), int(r.n)) for r in rows]  # as many as there are classes: some thousands at most
+    rows = sizes.groupBy(degree_class(F.col(size)).alias("c")).agg(F.avg(size).alias("d"), F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r.c, float(r.d), int(r.n)) for r in rows)  # as many as there are classes: some thousands at most
 
 
 @dataclass
 class Baskets:
-    """Distinct (basket, item) with the frequency of the item; tables in the shared folder."""
+    """Distinct (basket, item), and the size of each basket and frequency of each item; tables in the shared folder."""
 
     cells: DataFrame
     items: DataFrame
     sizes: DataFrame
+    n_cells: int
     n_baskets: int
 
     @staticmethod
@@ -134,8 +136,9 @@ class Baskets:
         """Rows with a null basket or item are left out, repeated rows count once."""
         good = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
         cells = materialize(good.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct(), "cells")
-        sizes = cells.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-        return Baskets(cells, cells.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), sizes, sizes.count())
+        sizes = materialize(cells.groupBy("basket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        items = materialize(cells.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "items")
+        return Baskets(cells, items, sizes, cells.count(), sizes.count())
 
 
 def pair_counts(baskets: Baskets, min_count: int = 1, min_ratio: float = 0.0) -> DataFrame:
@@ -147,16 +150,17 @@ def pair_counts(baskets: Baskets, min_count: int = 1, min_ratio: float = 0.0) ->
     items = items.where(F.col("n_item") >= min_count)
     if min_ratio > 0:
         items = items.where(F.col("n_item") * F.lit(float(min_ratio)) <= n)
-    used = cells.join(items, "item")
+    used = join_counted(cells, items, ["item"], "n_item", baskets.n_cells, ["basket"]).drop("__salt")
 
     large: list = []
     if min_count > 1:
         large = [r.basket for r in baskets.sizes.where(F.col("size") > LARGE_BASKET).orderBy(F.desc("size"), "basket").limit(min_count - 1).collect()]
     spread = used.where(~F.col("basket").isin(large)) if large else used
 
-    cut = _with_chunks(spread)
+    cut = _with_chunks(spread, baskets)
     member = F.struct("item", "n_item")
-    lists = cut.groupBy("basket", "chunk").agg(F.array_sort(F.collect_list(member)).alias("members"), F.max("chunks").alias("chunks"))
+    # Read three times below: the pairs inside a list, and both sides of those across two.
+    lists = materialize(cut.groupBy("basket", "__salt", "chunk", "chunks").agg(F.array_sort(F.collect_list(member)).alias("members")).drop("__salt"), "lists")
     inside = lists.where(F.size("members") > 1).select(
         F.explode(
             F.flatten(
@@ -193,11 +197,21 @@ def pair_counts(baskets: Baskets, min_count: int = 1, min_ratio: float = 0.0) ->
     return kept.where(F.col("ratio") >= min_ratio) if min_ratio > 0 else kept
 
 
-def _with_chunks(cells: DataFrame) -> DataFrame:
-    """chunk and chunks of each cell: a basket of s items has ceil(s / CHUNK) chunks, by hash of the item."""
-    sizes = cells.groupBy("basket").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") > CHUNK).select("basket", F.ceil(F.col("s") / F.lit(CHUNK)).cast("int").alias("k"))
-    joined = cells.join(sizes, "basket", "left").withColumn("chunks", F.coalesce("k", F.lit(1))).drop("k")
-    return joined.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+def _with_chunks(cells: DataFrame, baskets: Baskets) -> DataFrame:
+    """chunk and chunks of each cell: a basket of s items has ceil(s / CHUNK) chunks, by hash of the item.
+
+    Baskets with one part in HOT_PARTS of all cells or more, fewer than HOT_PARTS, are told by a broadcast and
+    shuffled by chunk; the others by basket, which they fill a small part of.
+    """
+    wanted = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
+    many = baskets.sizes.where(F.col("size") > CHUNK)
+    is_hot = F.col("size") * F.lit(HOT_PARTS) >= F.lit(baskets.n_cells)
+    chunk = lambda k: F.pmod(F.xxhash64("item"), F.col(k)).cast("int")
+    marked = cells.join(F.broadcast(many.where(is_hot).select("basket", wanted.alias("__hot"))), "basket", "left")
+    salted = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), chunk("__hot")).otherwise(F.lit(0)))
+    others = many.where(~is_hot).select("basket", F.lit(0).alias("__salt"), wanted.alias("__k"))
+    joined = salted.join(others, ["basket", "__salt"], "left").withColumn("chunks", F.coalesce("__hot", "__k", F.lit(1)))
+    return joined.withColumn("chunk", chunk("chunks")).drop("__hot", "__k")
 
 
 def surprise(baskets: Baskets, pairs: DataFrame) -> DataFrame:
@@ -235,5 +249,8 @@ def surprise(baskets: Baskets, pairs: DataFrame) -> DataFrame:
     rank = F.sum("k").over(Window.orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, 0))
     raw = ladder.select("__step", (F.lit(tests) - F.col("__step") / STEPS - F.log10(rank.cast("double"))).alias("raw"))
     least = F.min("raw").over(Window.orderBy(F.asc("__step")).rowsBetween(Window.unboundedPreceding, 0))
-    rated = stepped.join(F.broadcast(raw.select("__step", F.least(least, F.lit(0.0)).alias("log10_q"))), "__step").drop("__step", "__k")
-    return classed.join(rated, kind).select(*pairs.columns, "expected", "log10_p", "log10_q")
+    # A step is one of STEPS * DECADES, a hot kind of pair is one of few: both are bounded whatever the pairs.
+    rated = stepped.join(F.broadcast(raw.select("__step", F.least(least, F.lit(0.0)).alias("log10_q"))), "__step").drop("__step")
+    total = int(stepped.agg(F.coalesce(F.sum("__k"), F.lit(0))).first()[0])
+    found = join_counted(classed, rated, kind, "__k", total, ["item_a", "item_b"])
+    return found.select(*pairs.columns, "expected", "log10_p", "log10_q")

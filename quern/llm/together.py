@@ -9,6 +9,8 @@ from quern.llm.pairs import Baskets, pair_counts, surprise
 from quern.sources.tables import table
 
 MIN_COUNT, MIN_RATIO = 12, 7.0
+#: Common logarithm of the false-discovery rate.
+SURPRISING = -2.0
 
 
 def _baskets(spark: SparkSession, folder: str) -> Baskets:
@@ -20,9 +22,13 @@ def _named(pairs: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs more frequent together than the fitted null allows at a false-discovery rate of 1 %, of at least MIN_COUNT and MIN_RATIO.
+
+    Every pair of the given tables that is common enough is surprising by seven orders of magnitude or more.
+    """
     baskets = _baskets(spark, folder)
-    rated = surprise(baskets, pair_counts(baskets, MIN_COUNT, MIN_RATIO))
-    return _named(rated).where((F.col("n_ab") >= MIN_COUNT) & (F.col("ratio") >= MIN_RATIO)).select("partkey_a", "partkey_b")
+    rated = surprise(baskets, pair_counts(baskets, MIN_COUNT, MIN_RATIO)).where(F.col("log10_q") <= SURPRISING)
+    return _named(rated).select("partkey_a", "partkey_b")
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +40,7 @@ def p5_surprise(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that the fitted null does not explain at a false-discovery rate of 1 %; all that met are rated."""
     baskets = _baskets(spark, folder)
     rated = surprise(baskets, pair_counts(baskets))
-    return _named(rated).where(F.col("log10_q") <= -2).select("partkey_a", "partkey_b", "n_ab", "ratio", "expected", "log10_p", "log10_q")
+    return _named(rated).where(F.col("log10_q") <= SURPRISING).select("partkey_a", "partkey_b", "n_ab", "ratio", "expected", "log10_p", "log10_q")
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_surprise": p5_surprise}
