@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.subjects import Model, document_subjects
+from quern.llm.subjects import Model, document_subjects, leaf_words
 from quern.sources.tables import table
 
 
-def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, Model]:
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, Model, DataFrame]:
     return document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
 
 
@@ -27,13 +27,13 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_leaves(spark: SparkSession, folder: str) -> DataFrame:
-    """The leaves of the clustering with their discriminative terms and main subjects."""
-    _, model = _subjects(spark, folder)
+    """The leaves of the clustering with their first discriminative terms and the part of each subject."""
+    _, model, read = _subjects(spark, folder)
     rows = []
-    for leaf, (terms, mixture) in enumerate(zip(model.leaf_terms, model.mixtures, strict=True)):
+    for leaf, (terms, mixture) in enumerate(zip(leaf_words(read, model), model.mixtures, strict=True)):
         for subject, part in zip(model.lexicon.subjects, mixture, strict=True):
-            if part >= 0.1 and terms:
-                rows.append((leaf, subject, round(float(part), 4), ", ".join(terms[:8])))
+            if terms:
+                rows.append((leaf, subject, round(float(part), 4), ", ".join(terms)))
     return spark.createDataFrame(rows, "leaf int, subject string, part double, terms string")
 
 

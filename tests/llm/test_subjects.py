@@ -1,3 +1,8 @@
+import html
+import re
+import unicodedata
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +47,7 @@ def held_out(spark):
     both = documents.unionByName(tested.select((-F.col("example_id") - 1).alias("doc_id"), "text")).unionByName(
         spark.createDataFrame([(-10_000, None), (-10_001, ""), (-10_002, "+1"), (None, "The cell is acidic.")], "doc_id long, text string")
     )
-    found, model = subjects.document_subjects(both.withColumn("subject", F.lit("x")).withColumn("key", F.lit(1)), examples.where("example_id % 3 <> 0"))
+    found, model, _ = subjects.document_subjects(both.withColumn("subject", F.lit("x")).withColumn("key", F.lit(1)), examples.where("example_id % 3 <> 0"))
     got = {}
     for r in found.collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
@@ -76,7 +81,27 @@ def test_empty_tables(spark):
 
 
 def test_no_term_of_enough_documents_is_left_out(spark):
-    n = 20_500
-    terms_of = spark.range(3).select(F.col("id").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("terms"))
-    terms, df = subjects._frequent_terms(terms_of)
-    assert len(set(terms)) == n and set(df.tolist()) == {3.0}
+    text = " ".join("".join(chr(97 + (i // 26**p) % 26) for p in range(4)) for i in range(20_500)) + "."
+    read = subjects.read_sentences(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string"), "doc_id", "text")
+    frequency, n_docs = subjects._frequencies(read)
+    words = {w for s in subjects.sentences(text) for w in s}
+    assert n_docs == 3 and len(words) == 20_500 and all(frequency[subjects.bucket(w)] == 3 for w in words)
+    terms = np.flatnonzero(frequency >= 3)
+    feature, weights = subjects._features(terms, frequency[terms], np.ones(len(terms)))
+    assert (feature[terms] >= 0).all() and len(weights) == subjects.OWN_FEATURES + subjects.SHARED_FEATURES and (weights > 0).all()
+
+
+def test_guards_lose_nothing(spark):
+    """Each pattern is only tried where its signs stand: the same sentences as with all of them on every text."""
+    s = subjects
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect():
+        text = (r.text or "").replace("\r\n", "\n")
+        text = s._LINKS.sub(" ", s._CODE.sub("\n\n", text))
+        text = html.unescape(s._TAGS.sub("", s._BREAKS.sub("\n\n", text)))
+        text = unicodedata.normalize("NFKC", s._UNSEEN.sub("", s._MARKS.sub("", text)))
+        want = []
+        for piece in re.split("(?<=[.!?…])[\"'”’)\\]]*\\s+|\\n\\s*\\n", text):
+            listed = s._LETTERS.findall(piece.lower())
+            if listed and (len(listed) >= 4 or piece.rstrip().endswith((".", "!", "?", "…"))):
+                want.append(listed)
+        assert s.sentences(r.text) == want
