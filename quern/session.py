@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,19 +55,62 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: Folders of written tables by scope; the last scope is the one open.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     The plan behind it is cut, a lost executor costs only tasks, and the columnar copy is far smaller
-    than a checkpoint of rows. The files go when the Python process ends.
+    than a checkpoint of rows. The files go when the scratch() they were written in ends, else when the
+    Python process does; sweep() removes those of drivers that were killed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if len(_scopes) == 1 and not _scopes[0]:
+        atexit.register(_remove_all, _scopes[0])
+    _scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are removed at its end, so results must have been read or written by then.
+
+    For drivers that live long: one query each, whose intermediate tables would else stay to the end.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _remove_all(_scopes.pop())
+
+
+def sweep(spark: SparkSession, older_than_seconds: float) -> int:
+    """Remove the folders of other applications that nothing was written into for that long; how many there were."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own, gone = application_dir(spark).rsplit("/", 1)[1], 0
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        name = status.getPath().getName()
+        if name.startswith("quern-") and name != own and status.isDirectory() and time.time() - status.getModificationTime() / 1000 > older_than_seconds:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone
+
+
+def _remove_all(written: list[tuple[SparkSession, str]]) -> None:
+    while written:
+        _remove(*written.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

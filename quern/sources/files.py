@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 #: Options with which a format keeps nulls, empty strings and moments as they are.
 OPTIONS: dict[str, dict[str, str]] = {
-    "csv": {"header": "true", "nullValue": "\\N", "emptyValue": "", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"', "multiLine": "false"},
+    "csv": {"header": "true", "nullValue": "\\N", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"', "multiLine": "false"},
     "json": {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"},
     "orc": {},
     "parquet": {},

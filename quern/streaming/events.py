@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.session import shared_dir
@@ -27,6 +28,24 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return source.parquet(path)
 
 
+def read_kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType, *, starting: str = "earliest", per_batch: int | None = None) -> DataFrame:
+    """A topic of JSON records as a stream: the schema's columns, with the record's key, partition, offset and moment.
+
+    A record that does not fit the schema has nulls in its columns. The Kafka connector must be among the
+    session's packages; without it Spark says so when the stream is made.
+    """
+    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
+    if per_batch:
+        source = source.option("maxOffsetsPerTrigger", per_batch)
+    return parse_records(source.load(), schema)
+
+
+def parse_records(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of JSON values (value, binary), beside where each record came from."""
+    read = records.withColumn("__r", F.from_json(F.col("value").cast("string"), schema))
+    return read.select("__r.*", F.col("key").cast("string").alias("record_key"), F.col("partition").alias("record_partition"), F.col("offset").alias("record_offset"), F.col("timestamp").alias("record_at"))
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything there is and return what came out.
 
