@@ -146,12 +146,10 @@ def run(spark: SparkSession, folder: str, text: str) -> DataFrame:
 
 QUERIES = {name: (lambda spark, folder, text=text: run(spark, folder, text)) for name, text in TEXTS.items()}
 
-ORACLES = {name: re.sub(r"{(\w+)}", r"\1", text) for name, text in TEXTS.items()}
-
-# Checks that are put another way than the query: subqueries for joins and joins for subqueries, filters for cases.
+# The checks are put another way than the queries: subqueries for joins and joins for subqueries, filters for cases.
 _PS = re.sub(r"{(\w+)}", r"\1", PARTSUPP)
 _REV = "sum(l_extendedprice::DECIMAL(10,2) * (1 - l_discount::DECIMAL(3,2)))::DOUBLE"
-ORACLES |= {
+ORACLES = {
     "q02_cheapest_supplier": f"""WITH {_PS}, there AS (SELECT * FROM supplier, nation WHERE n_nationkey = s_nationkey AND n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE'))
 SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, there, partsupp p WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size = 15 AND (p_type = 'PROMO' OR p_type = 'SMALL')
   AND ps_supplycost <= ALL (SELECT o.ps_supplycost FROM partsupp o WHERE o.ps_partkey = p.ps_partkey AND o.ps_suppkey IN (SELECT s_suppkey FROM there))
@@ -183,4 +181,35 @@ WHERE l_linestatus = 'O' AND n > 1 AND late = 1 AND l_orderkey IN (SELECT o_orde
     "q22_sales_opportunity": """SELECT c_mktsegment, count(*)::BIGINT AS numcust, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS totacctbal
 FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01') ON o_custkey = c_custkey
 WHERE o_custkey IS NULL AND c_acctbal > (SELECT sum(c_acctbal::DECIMAL(18,2))::DOUBLE / count(*) FROM customer WHERE c_acctbal > 0) GROUP BY ALL""",
+    "q01_pricing_summary": f"""WITH l AS (SELECT *, l_extendedprice::DECIMAL(10,2) AS p, l_discount::DECIMAL(3,2) AS d, l_tax::DECIMAL(3,2) AS t FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02 00:00:00.000001')
+SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS sum_qty, sum(p)::DOUBLE AS sum_base_price, sum(p - p * d)::DOUBLE AS sum_disc_price, sum((p - p * d) * (1 + t))::DOUBLE AS sum_charge,
+  sum(l_quantity)::DOUBLE / count(l_orderkey) AS avg_qty, sum(p)::DOUBLE / count(l_orderkey) AS avg_price, count(l_orderkey)::BIGINT AS count_order FROM l GROUP BY ALL""",
+    "q05_local_supplier": f"""SELECT (SELECT n_name FROM nation WHERE n_nationkey = s_nationkey) AS n_name, {_REV} AS revenue FROM lineitem, orders, supplier
+WHERE o_orderkey = l_orderkey AND s_suppkey = l_suppkey AND year(o_orderdate) = 1996 AND s_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = o_custkey)
+  AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')) GROUP BY s_nationkey""",
+    "q07_volume_shipping": f"""WITH c AS (SELECT o_orderkey, n_name AS cust_nation FROM orders, customer, nation WHERE c_custkey = o_custkey AND n_nationkey = c_nationkey),
+v AS (SELECT s_suppkey, n_name AS supp_nation FROM supplier, nation WHERE n_nationkey = s_nationkey)
+SELECT supp_nation, cust_nation, year(l_shipdate)::INT AS l_year, {_REV} AS revenue FROM lineitem, c, v WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey
+  AND (supp_nation, cust_nation) IN (('NATION_1', 'NATION_2'), ('NATION_2', 'NATION_1')) AND year(l_shipdate) BETWEEN 1995 AND 1998 GROUP BY ALL""",
+    "q08_market_share": f"""WITH o AS (SELECT o_orderkey, year(o_orderdate)::INT AS o_year FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 AND o_custkey IN (
+  SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'AMERICA'))),
+l AS (SELECT o_year, l_extendedprice::DECIMAL(10,2) * (1 - l_discount::DECIMAL(3,2)) AS v, l_suppkey IN (SELECT s_suppkey FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_name = 'NATION_3') AS own
+  FROM lineitem JOIN o ON o_orderkey = l_orderkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') AND l_suppkey IN (SELECT s_suppkey FROM supplier))
+SELECT o_year, coalesce(sum(v) FILTER (own), 0)::DOUBLE / sum(v)::DOUBLE AS mkt_share FROM l GROUP BY o_year""",
+    "q_join_order": f"""SELECT max(year(o_orderdate))::INT AS last_year, {_REV} AS volume FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
+  AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation))
+  AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')))""",
+    "q09_profit": f"""SELECT nation, o_year, {_REV} AS sum_profit FROM (
+  SELECT (SELECT n_name FROM supplier, nation WHERE s_suppkey = l_suppkey AND n_nationkey = s_nationkey) AS nation, (SELECT year(o_orderdate)::INT FROM orders WHERE o_orderkey = l_orderkey) AS o_year, l_extendedprice, l_discount
+  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE contains(p_brand, '#1'))) WHERE nation IS NOT NULL AND o_year IS NOT NULL GROUP BY ALL""",
+    "q10_returned_items": f"""WITH r AS (SELECT o_custkey, {_REV} AS revenue FROM orders, lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND year(o_orderdate) = 1997 AND quarter(o_orderdate) = 4 GROUP BY o_custkey)
+SELECT c_custkey, c_name, revenue, c_acctbal, n_name FROM customer JOIN r ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey ORDER BY revenue DESC, c_custkey LIMIT 20""",
+    "q14_promo_share": f"""WITH l AS (SELECT l_extendedprice::DECIMAL(10,2) * (1 - l_discount::DECIMAL(3,2)) AS v, (SELECT p_type FROM part WHERE p_partkey = l_partkey) AS kind FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') = '1997-09')
+SELECT 100.0 * coalesce(sum(v) FILTER (kind = 'PROMO'), 0)::DOUBLE / sum(v)::DOUBLE AS promo_revenue FROM l WHERE kind IS NOT NULL""",
+    "q17_small_quantity": """SELECT sum(p)::DOUBLE / 7.0 AS avg_yearly FROM (
+  SELECT l_extendedprice::DECIMAL(10,2) AS p, l_partkey, l_quantity, 0.2 * sum(l_quantity) OVER (PARTITION BY l_partkey)::DOUBLE / count(*) OVER (PARTITION BY l_partkey) AS few FROM lineitem)
+WHERE l_quantity < few AND l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13')""",
+    "q19_discounted": f"""WITH wanted(brand, low, size) AS (VALUES ('Brand#12', 1, 15), ('Brand#23', 10, 30), ('Brand#24', 20, 45))
+SELECT {_REV} AS revenue FROM lineitem, part, wanted WHERE p_partkey = l_partkey AND p_brand = brand AND l_quantity - low BETWEEN 0 AND 10 AND p_size > 0 AND p_size <= size""",
 }
