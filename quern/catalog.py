@@ -37,6 +37,16 @@ class TableDef:
         raise KeyError(f"{self.name} has no index {name}")
 
 
+def capabilities(definition: TableDef) -> list[tuple[str, str, bool, bool, bool, bool]]:
+    """(index, columns, unique, ordered, prefix, covering) of each way into a table: what a reader may ask of it.
+
+    Every index gives order and ranges, in both directions; one of several columns can be asked by its leading
+    ones; a table without a primary key has no unique way in. Columns that are asked for alone are read alone.
+    """
+    named = ([IndexDef("primary", definition.primary_key, True)] if definition.primary_key else []) + list(definition.indexes)
+    return [(i.name, ",".join(i.columns), i.unique, True, len(i.columns) > 1, True) for i in named]
+
+
 #: Declared key types and the Spark types that hold all their values.
 KEY_TYPES: dict[str, T.DataType] = {
     "float": T.FloatType(), "double": T.DoubleType(), "int8": T.ByteType(), "int16": T.ShortType(), "uint16": T.IntegerType(),

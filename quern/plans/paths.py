@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.catalog import Catalog
+from quern.catalog import Catalog, capabilities
 from quern.operators import access, changes, predicates, statistics
 from quern.functions.hostlike import aggregate_by, divide, null_if, pad_equal, register, register_table, substring
-from quern.session import shared_dir
+from quern.session import application_dir, shared_dir
 from quern.sources.files import read_files, write_files
 from quern.sources.snapshots import SnapshotStore
 
@@ -265,6 +265,43 @@ def statistics_kept(c: Catalog) -> DataFrame:
     return c.spark.createDataFrame(found, "rows_then long, same_before_due boolean, rows_after long").withColumn("near", near)
 
 
+@query("tables_renamed", "SELECT 'kept' AS table_name, count(*)::BIGINT AS row_count FROM region UNION ALL SELECT 'other', count(*)::BIGINT FROM nation")
+def tables_renamed(c: Catalog) -> DataFrame:
+    """Tables made, renamed and dropped; what is there at the end, with its rows."""
+    store = _store(c)
+    for name in ("region", "nation", "gone"):
+        store.create(name, c.read("region" if name == "region" else "nation"))
+    store.rename("region", "kept")
+    store.rename("nation", "other")
+    store.drop("gone")
+    return c.spark.createDataFrame([(name, sum(f["rows"] for f in store.manifest(name)["files"])) for name in store.tables()], "table_name string, row_count long")
+
+
+@query("layout_by_key", f"SELECT {_L} FROM lineitem WHERE l_partkey BETWEEN 200 AND 700")
+def layout_by_key(c: Catalog) -> DataFrame:
+    """A bulk load in key order, then a range of it: files and row groups outside the range are skipped."""
+    path = f"{application_dir(c.spark)}/layout-{uuid.uuid4().hex}"
+    access.cluster_by_key(_lines(c), ["l_partkey", "l_suppkey"], path, partitions=8)
+    return access.range_scan(c.spark.read.schema(_lines(c).schema).parquet(path), ["l_partkey", "l_suppkey"], [200], [700])
+
+
+@query(
+    "index_capabilities",
+    """SELECT * FROM (VALUES ('orders', 'primary', 'o_orderkey', true, true, false, true), ('orders', 'by_o_custkey', 'o_custkey', false, true, false, true), ('orders', 'by_o_orderdate', 'o_orderdate', false, true, false, true),
+('lineitem', 'by_order_line', 'l_orderkey,l_linenumber', false, true, true, true), ('lineitem', 'by_part_supplier', 'l_partkey,l_suppkey', false, true, true, true), ('lineitem', 'by_l_shipdate', 'l_shipdate', false, true, false, true))
+v(table_name, index_name, columns, is_unique, ordered, prefix, covering)""",
+)
+def index_capabilities(c: Catalog) -> DataFrame:
+    rows = [(name, *way) for name in ("orders", "lineitem") for way in capabilities(c.define(name))]
+    return c.spark.createDataFrame(rows, "table_name string, index_name string, columns string, is_unique boolean, ordered boolean, prefix boolean, covering boolean")
+
+
+@query("source_memory", "SELECT * FROM (VALUES (1, 'a', 0.5), (2, NULL, -1.0), (3, '', NULL)) v(k, v, x)")
+def source_memory(c: Catalog) -> DataFrame:
+    """Rows of the driver as a table."""
+    return c.spark.createDataFrame([(1, "a", 0.5), (2, None, -1.0), (3, "", None)], "k int, v string, x double")
+
+
 # Sources and functions of one's own
 
 
