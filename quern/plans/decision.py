@@ -31,11 +31,10 @@ SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, {
   {money(PRICE)} / count(*) AS avg_price, CAST(count(*) AS BIGINT) AS count_order
 FROM {{lineitem}} WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
     "q02_cheapest_supplier": f"""
-WITH {PARTSUPP}, offers AS (SELECT s_acctbal, s_name, n_name, ps_partkey, ps_supplycost FROM partsupp JOIN {{supplier}} ON s_suppkey = ps_suppkey
-  JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
-least AS (SELECT ps_partkey AS k, min(ps_supplycost) AS cost FROM offers GROUP BY ps_partkey)
-SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM offers JOIN least ON ps_partkey = k AND ps_supplycost = cost JOIN {{part}} ON p_partkey = ps_partkey
-WHERE p_size = 15 AND p_type IN ('PROMO', 'SMALL') ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+WITH {PARTSUPP}, offers AS (SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, ps_supplycost, min(ps_supplycost) OVER (PARTITION BY p_partkey) AS least
+  FROM {{part}} JOIN partsupp ON p_partkey = ps_partkey JOIN {{supplier}} ON s_suppkey = ps_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
+  WHERE r_name = 'EUROPE' AND p_size = 15 AND p_type IN ('PROMO', 'SMALL'))
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM offers WHERE ps_supplycost = least ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
     "q03_shipping_priority": f"""
 SELECT l_orderkey, {money(NET)} AS revenue, CAST(o_orderdate AS DATE) AS order_day
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
@@ -85,7 +84,7 @@ GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey L
     "q11_important_stock": f"""
 WITH {PARTSUPP}, held AS (SELECT ps_partkey, CAST(sum(CAST(ps_supplycost AS BIGINT) * ps_availqty) AS BIGINT) AS stock_value FROM partsupp JOIN {{supplier}} ON s_suppkey = ps_suppkey
   JOIN {{nation}} ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' GROUP BY ps_partkey)
-SELECT ps_partkey, stock_value FROM held WHERE stock_value > (SELECT CAST(sum(stock_value) AS DOUBLE) * 0.001 FROM held)""",
+SELECT ps_partkey, stock_value FROM held WHERE stock_value > (SELECT CAST(sum(stock_value) AS DOUBLE) * 0.0001 FROM held)""",
     "q12_priority_by_status": """
 SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
   CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
@@ -161,7 +160,7 @@ FROM orders WHERE o_orderdate < TIMESTAMP '1998-03-15' AND o_custkey IN (SELECT
 WHERE year(o_orderdate) = 1997 AND quarter(o_orderdate) = 3 GROUP BY ALL""",
     "q06_forecast_revenue": """SELECT (sum(round(l_extendedprice * 100)::HUGEINT * round(l_discount * 100)::HUGEINT) FILTER (year(l_shipdate) = 1996 AND l_quantity <= 23 AND round(l_discount * 100) IN (5, 6, 7)) / 10000)::DOUBLE AS revenue FROM lineitem""",
     "q11_important_stock": f"""WITH {_PS}, v AS (SELECT ps_partkey, ps_supplycost::BIGINT * ps_availqty AS x FROM partsupp WHERE ps_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7')))
-SELECT ps_partkey, sum(x)::BIGINT AS stock_value FROM v GROUP BY ALL HAVING sum(x) * 1000 > (SELECT sum(x) FROM v)""",
+SELECT ps_partkey, sum(x)::BIGINT AS stock_value FROM v GROUP BY ALL HAVING sum(x) * 10000 > (SELECT sum(x) FROM v)""",
     "q12_priority_by_status": """SELECT l_linestatus, (count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')))::BIGINT AS high_line_count, (count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')))::BIGINT AS low_line_count
 FROM lineitem, orders WHERE l_orderkey = o_orderkey AND year(l_shipdate) = 1996 GROUP BY ALL""",
     "q13_customer_distribution": """SELECT n::BIGINT AS c_count, count(*)::BIGINT AS custdist FROM (SELECT (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer) GROUP BY ALL""",
